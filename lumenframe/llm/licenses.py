@@ -70,69 +70,65 @@ def token_order(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dic
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def _template_hits(ws: Column, name: str, tokens: list[str], threshold: float, block_words: int, step: int) -> Column:
-    """The largest containment of one template in any block of ``ws``, or null below the threshold. ``tokens``: distinct, rarest first."""
-    size, need = len(tokens), ceil(threshold * len(tokens) - 1e-9)
-    prefix = tokens[: size - need + 1]
-    full = _literal(tokens)
-
-    def in_block(block: Column) -> Column:
-        # positional filter: the first prefix token at hand leaves size - position tokens that may still match
-        first = F.lit(None).cast("int")
-        for i, w in reversed(list(enumerate(prefix))):
-            first = F.when(F.array_contains(block, w), F.lit(i)).otherwise(first)
-        common = F.size(F.array_intersect(full, block))
-        return F.when((size - first) >= need, F.when(common >= need, common / F.lit(float(size))))
-
-    def blocks(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (block_words - step), F.lit(1)), F.lit(step))
-        # only blocks that hold a prefix token are looked at
-        hit = lambda s: F.arrays_overlap(F.slice(w, s, block_words), _literal(prefix))
-        return F.array_max(F.transform(F.filter(starts, hit), lambda s: let(F.slice(w, s, block_words), in_block)))
-
-    # length filter and prefix filter on the whole text come first
-    return F.when((F.size(ws) >= need) & F.arrays_overlap(ws, _literal(prefix)), blocks(ws))
+def _templates(rank: dict[str, int], threshold: float, templates) -> Column:
+    """The templates as a constant: name, distinct tokens rarest first, the prefix, and how many tokens are needed."""
+    rows = []
+    for name, text in templates:
+        tokens = sorted(set(text.split()), key=rank.get)
+        need = ceil(threshold * len(tokens) - 1e-9)
+        rows.append(F.struct(F.lit(name).alias("name"), _literal(tokens).alias("tokens"), _literal(tokens[: len(tokens) - need + 1]).alias("prefix"), F.lit(need).alias("need")))
+    return F.array(*rows)
+
+
+def _best(ws: Column, t: Column, block_words: int, step: int) -> Column:
+    """The largest share of template ``t`` that any block of ``ws`` holds, or null below the threshold."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (block_words - step), F.lit(1)), F.lit(step))
+
+    def share(block: Column) -> Column:
+        # positional filter: what the first prefix token at hand leaves must still suffice
+        first = F.array_min(F.transform(F.filter(t["prefix"], lambda w: F.array_contains(block, w)), lambda w: F.array_position(t["tokens"], w)))
+        size = F.size(t["tokens"])
+        common = F.size(F.array_intersect(t["tokens"], block))
+        return F.when((size - first + 1 >= t["need"]) & (common >= t["need"]), common / size.cast("double"))
+
+    # only blocks that hold a prefix token are looked at
+    hit = F.filter(starts, lambda s: F.arrays_overlap(F.slice(ws, s, block_words), t["prefix"]))
+    return F.array_max(F.transform(hit, lambda s: let(F.slice(ws, s, block_words), share)))
 
 
 def scan(docs: DataFrame, threshold: float = 0.9, block_words: int = 64, templates=TEMPLATES, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``."""
+    """``docs`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``.
+
+    ``score`` is 1 where a base phrase stands, else the largest share of a found template.
+    """
     rank = token_order(docs, templates, text)
-    longest = max(len(t.split()) for _, t in templates)
-    step = block_words - longest - 8
+    step = block_words - max(len(t.split()) for _, t in templates) - 8
     if step < 1:
         raise ValueError("block_words is too small for the templates")
     out = docs.withColumn("_ws", license_words(F.col(text)))
     ws = F.col("_ws")
-
-    def places(words_: list[str]) -> Column:
-        def at(i: Column) -> Column:
-            here = F.lit(True)
-            for k, w in enumerate(words_):
-                here = here & (F.get(ws, i + k) == w)
-            return F.coalesce(here, F.lit(False))
-
-        rare = _literal([words_[0]])
-        empty = F.array().cast("array<int>")
-        return F.when(F.arrays_overlap(ws, rare) & F.array_contains(ws, words_[-1]), F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - len(words_), F.lit(0))), at)).otherwise(empty)
-
-    for k, (phrase, _) in enumerate(PHRASES):
-        out = out.withColumn(f"_p{k}", places(phrase.split()))
-    found = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    out = out.withColumn("_at", F.concat(*[F.col(f"_p{k}") for k in range(len(PHRASES))])).withColumn("_base", F.array_sort(F.array_distinct(found)))
-    for k, (name, template) in enumerate(templates):
-        tokens = sorted(set(template.split()), key=rank.get)
-        out = out.withColumn(f"_t{k}", _template_hits(ws, name, tokens, threshold, block_words, step))
-    more = F.array_compact(F.array(*[F.when(F.col(f"_t{k}").isNotNull(), F.lit(name)) for k, (name, _) in enumerate(templates)]))
-    best = F.greatest(*[F.coalesce(F.col(f"_t{k}"), F.lit(0.0)) for k in range(len(templates))])
+    phrases = F.array(*[F.struct(_literal(p.split()).alias("words"), F.lit(label).alias("label")) for p, label in PHRASES])
+
+    def places(p: Column) -> Column:
+        n = F.size(p["words"])
+        return F.filter(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.slice(ws, i + 1, n) == p["words"])
+
+    whole = F.filter(phrases, lambda p: (F.size(ws) >= F.size(p["words"])) & F.forall(p["words"], lambda w: F.array_contains(ws, w)))
+    found = F.filter(F.transform(whole, lambda p: F.struct(p["label"].alias("label"), places(p).alias("at"))), lambda x: F.size(x["at"]) > 0)
+    # length and prefix filters on the whole text, then the blocks
+    able = F.filter(_templates(rank, threshold, templates), lambda t: (F.size(ws) >= t["need"]) & F.arrays_overlap(ws, t["prefix"]))
+    hits = F.filter(F.transform(able, lambda t: F.struct(t["name"].alias("name"), _best(ws, t, block_words, step).alias("share"))), lambda x: x["share"].isNotNull())
+    out = out.withColumn("_found", found).withColumn("_hits", hits)
+    at = F.flatten(F.col("_found.at"))
     return (
         out.withColumn("n_words", F.size("_ws").cast("long"))
-        .withColumn("n_base", F.size("_at").cast("long"))
-        .withColumn("first_word", F.array_min("_at").cast("long"))
-        .withColumn("last_word", F.array_max("_at").cast("long"))
-        .withColumn("base_labels", F.array_join("_base", ","))
-        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(F.col("_base"), more))), ","))
-        .withColumn("score", F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(best))
-        .drop("_ws", "_at", "_base", *[f"_p{k}" for k in range(len(PHRASES))], *[f"_t{k}" for k in range(len(templates))])
+        .withColumn("n_base", F.size(at).cast("long"))
+        .withColumn("first_word", F.array_min(at).cast("long"))
+        .withColumn("last_word", F.array_max(at).cast("long"))
+        .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct(F.col("_found.label"))), ","))
+        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(F.col("_found.label"), F.col("_hits.name")))), ","))
+        .withColumn("score", F.when(F.size("_found") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("_hits.share")), F.lit(0.0))))
+        .drop("_ws", "_found", "_hits")
     )
 
 

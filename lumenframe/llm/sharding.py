@@ -6,7 +6,8 @@ in one pass over the keys with partial sums on each partition, keeps for each sp
 and probes that interval more finely, until every splitter is within the tolerance or the interval is a single key.
 Intervals of one hash (a large group of copies) are refined on doc_id in the same way. Then rows are exchanged once.
 
-What reaches the driver is one number for each probe: shards * probes a round, whatever the input. Keys (hash, id, size)
+What reaches the driver is one number for each probe (1,024 in the first round, then 64 for each unsettled splitter) and
+one for each piece, whatever the input. Keys (hash, id, size)
 are written to the shared folder once, so that texts are read only once for the search.
 
 Defined results: a null text has size 1 and the crc of the empty text; null doc_ids come first in their group; rows that
@@ -38,121 +39,143 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     )
 
 
-def _bucket(bounds: list[tuple[int, int]]) -> Column:
-    """How many bounds are at or below the row's (h, k): a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        h, k = bounds[mid]
-        at = (F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("k") >= F.lit(k)))
-        return F.when(at, tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
-
-
-def _between(lo: tuple[int, int], hi: tuple[int, int], probes: int) -> list[tuple[int, int]]:
-    """Positions strictly inside (lo, hi]: on the hash while it differs, else on the id."""
-    if hi[0] - lo[0] > 1:
-        a, b, make = lo[0], hi[0], lambda x: (x, LOW)
-    elif hi[0] > lo[0]:
-        # neighbours in hash: ids of the lower hash above lo, or the start of the upper one
-        return sorted({*_between(lo, (lo[0], HIGH), probes), (hi[0], LOW)} - {lo, hi})
-    else:
-        a, b, make = lo[1], hi[1], lambda x: (lo[0], x)
-    step = max(1, (b - a) // (probes + 1))
-    return [make(x) for x in range(a + step, b, step)][: probes + 1]
-
-
-def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes: int = 15, max_rounds: int = 64) -> list[tuple[int, int]]:
-    """``shards - 1`` positions such that the bytes below the i-th are within ``tolerance`` of a shard of ``i / shards`` of all."""
-
-    def sums(bounds: list[tuple[int, int]]) -> list[int]:
-        got = dict(keys.groupBy(_bucket(bounds).alias("b")).agg(F.sum("size").alias("n")).collect())
-        below, out = 0, []
-        for i in range(len(bounds) + 1):
-            below += got.get(i, 0)
-            out.append(below)
-        return out  # bytes below bounds[i], and at the end all
-
-    edges = keys.agg(F.min("k"), F.max("k")).first()
-    low, high = (LOW, LOW), (HIGH, HIGH)
-    bounds = sorted({*_between(low, high, shards * probes)})
-    known = {low: 0}
-    total = None
+def _at_or_above(h: int, k: int) -> Column:
+    return (F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("k") >= F.lit(k)))
+
+
+def _cell(bits: int) -> Column:
+    """The first ``bits`` bits of the hash as a number from 0."""
+    return (F.shiftright("h", 64 - bits) + (1 << (bits - 1))).cast("int")
+
+
+def _cell_start(cell: int, bits: int) -> tuple[int, int]:
+    return ((cell - (1 << (bits - 1))) << (64 - bits), LOW)
+
+
+def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes: int = 63, bits: int = 10, max_rounds: int = 32) -> list[tuple[int, int]]:
+    """``shards - 1`` positions such that the bytes below the i-th are within ``tolerance`` of a shard of ``i / shards`` of all, or one row off.
+
+    The first round counts bytes below ``2 ** bits`` even boundaries of the hash; each later round counts, inside the
+    intervals that hold unsettled targets, below ``probes`` even boundaries of the hash or, inside one hash, of the id.
+    """
+    known: dict[tuple[int, int], tuple[int, int]] = {(LOW, LOW): (0, 0)}  # (bytes, rows) below a position, exact
+    size = rows = 0
+    got = {r[0]: (r[1], r[2]) for r in keys.groupBy(_cell(bits).alias("b")).agg(F.sum("size"), F.count("*")).collect()}
+    for c in range(1 << bits):
+        known[_cell_start(c, bits)] = (size, rows)
+        size, rows = size + got.get(c, (0, 0))[0], rows + got.get(c, (0, 0))[1]
+    known[HIGH, HIGH] = (size, rows)
+    total = size
+    if not rows:
+        return [(LOW, LOW)] * (shards - 1)
+    first, last = keys.agg(F.min("k"), F.max("k")).first()
     chosen: dict[int, tuple[int, int]] = {}
-    spans = {i: (low, high) for i in range(1, shards)}
     for _ in range(max_rounds):
-        counts = sums(bounds)
-        total = counts[-1]
-        if not total:
-            return [low] * (shards - 1)
-        known |= dict(zip(bounds, counts, strict=False))
-        known[high] = total
         ordered = sorted(known)
-        amounts = [known[p] for p in ordered]
-        bounds = []
+        amounts = [known[p][0] for p in ordered]
+        intervals: list[tuple[tuple[int, int], tuple[int, int], int]] = []
         for i in range(1, shards):
             if i in chosen:
                 continue
-            target = total * i / shards
-            at = bisect_right(amounts, target) - 1
+            at = bisect_right(amounts, total * i / shards) - 1
             lo, hi = ordered[at], ordered[min(at + 1, len(ordered) - 1)]
-            near = min((lo, hi), key=lambda p: abs(known[p] - target))
-            if abs(known[near] - target) <= tolerance * total / shards or lo == hi:
+            near = min((lo, hi), key=lambda p: abs(known[p][0] - total * i / shards))
+            if abs(known[near][0] - total * i / shards) <= tolerance * total / shards or known[hi][1] - known[lo][1] <= 1:
                 chosen[i] = near
-                continue
-            if lo[0] == hi[0] and edges[0] is not None:  # ids outside the table's range need no probe
-                lo, hi = (lo[0], max(lo[1], edges[0] - 1)), (hi[0], min(hi[1], edges[1] + 1))
-            new = [p for p in _between(lo, hi, probes) if p not in known]
-            if not new:
+            elif hi[0] - lo[0] > 1 and lo[1] == LOW:
+                intervals.append((lo, hi, max(1, (hi[0] - lo[0]) // (probes + 1))))
+            elif hi[0] > lo[0] and lo[1] == LOW:  # one hash: from here on the ids
+                intervals.append(((lo[0], first), (lo[0], last + 1), max(1, (last + 1 - first) // (probes + 1))))
+            elif min(hi[1], last + 1) - lo[1] > 1 and hi[0] == lo[0]:
+                top = min(hi[1], last + 1)
+                intervals.append((lo, (lo[0], top), max(1, (top - lo[1]) // (probes + 1))))
+            else:
                 chosen[i] = near
-                continue
-            spans[i] = (lo, hi)
-            bounds += new
-        if not bounds:
+        intervals = sorted(set(intervals))
+        if not intervals:
             break
-        bounds = sorted(set(bounds))
-    for i in range(1, shards):
-        chosen.setdefault(i, spans[i][1])
+        where = F.lit(None).cast("long")
+        for j, (lo, hi, step) in reversed(list(enumerate(intervals))):
+            if lo[0] == hi[0]:
+                inside, cell = (F.col("h") == F.lit(lo[0])) & (F.col("k") >= F.lit(lo[1])) & (F.col("k") < F.lit(hi[1])), F.expr(f"(k - {lo[1]}L) div {step}L")
+            else:
+                inside, cell = (F.col("h") >= F.lit(lo[0])) & (F.col("h") < F.lit(hi[0])), F.expr(f"(h - ({lo[0]}L)) div {step}L")
+            where = F.when(inside, cell + F.lit(j * 4 * (probes + 1)).cast("long")).otherwise(where)
+        counted = keys.withColumn("b", where).where("b is not null").groupBy("b").agg(F.sum("size"), F.count("*")).collect()
+        got = {r[0]: (r[1], r[2]) for r in counted}
+        for j, (lo, hi, step) in enumerate(intervals):
+            base = lo if lo in known else (lo[0], LOW)
+            size, rows = known[base]
+            axis = 1 if lo[0] == hi[0] else 0
+            known[lo] = (size, rows)
+            for c in range(-(-(hi[axis] - lo[axis]) // step)):
+                x = lo[axis] + c * step
+                known[(lo[0], x) if axis else (x, LOW)] = (size, rows)
+                more = got.get(j * 4 * (probes + 1) + c, (0, 0))
+                size, rows = size + more[0], rows + more[1]
+            known[hi if axis == 0 else (lo[0], hi[1])] = (size, rows)
     return [chosen[i] for i in range(1, shards)]
 
 
-def assign(keys: DataFrame, shards: int = 16, parts: int = 16, tolerance: float = 0.002) -> DataFrame:
+def _shard(cuts: list[tuple[int, int]]) -> Column:
+    """How many of the splitters are at or below the row."""
+    out = F.lit(0)
+    for h, k in cuts:
+        out = out + _at_or_above(h, k).cast("int")
+    return out
+
+
+def assign(keys: DataFrame, shards: int = 16, tolerance: float = 0.002, bits: int = 10) -> DataFrame:
     """``keys`` with ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
-    The order is cut into ``shards * parts`` ranges, so that no task holds a whole shard; a slot is the row's number in
-    its range plus the rows of the shard's earlier ranges.
+    Rows are numbered in pieces, so that no task holds a whole shard: a piece is a shard's part of one of ``2 ** bits``
+    cells of the hash, and a cell whose most frequent hash is far above the mean is parted by id inside that hash. A slot is
+    the row's number in its piece plus the rows of the shard's earlier pieces; the pieces' counts are a table of at most
+    ``2 ** bits * 18 + shards`` rows, which is broadcast.
     """
-    fine = splitters(keys, shards * parts, tolerance * parts)
-    placed = keys.withColumn("_range", _bucket(fine))
-    counts = dict(placed.groupBy("_range").count().collect())  # at most shards * parts numbers
-    before, base = {}, 0
-    for r in range(shards * parts):
-        base = 0 if r % parts == 0 else base
-        before[r] = base
-        base += counts.get(r, 0)
-    offset = F.get(F.array(*[F.lit(before[r]).cast("long") for r in range(shards * parts)]), F.col("_range"))
-    # one exchange, by range
-    order = Window.partitionBy("_range").orderBy("h", "k", "size", "text_crc32")
+    spark = keys.sparkSession
+    cuts = splitters(keys, shards, tolerance, bits=bits)
+    cells = {r[0]: r[1] for r in keys.groupBy(_cell(bits).alias("c")).count().collect()}
+    n = sum(cells.values())
+    heavy = [c for c, m in cells.items() if m > max(1000, 4 * n / (1 << bits))]
+    placed = keys.withColumn("shard", _shard(cuts)).withColumn("_cell", _cell(bits))
+    piece = F.lit(0)
+    if heavy:
+        hashes = keys.where(_cell(bits).isin(heavy)).groupBy(_cell(bits).alias("c"), "h").count()
+        top = hashes.groupBy("c").agg(F.max_by("h", "count").alias("h")).collect()
+        first, last = keys.agg(F.min("k"), F.max("k")).first()
+        width = (last - first) // 16 + 1
+        for c, h in top:
+            inside = F.when(F.col("h") < F.lit(h), 0).when(F.col("h") == F.lit(h), (F.expr(f"(k - ({first}L)) div {width}L") + 1).cast("int")).otherwise(17)
+            piece = F.when(F.col("_cell") == c, inside).otherwise(piece)
+    placed = placed.withColumn("_piece", piece)
+    key = ["shard", "_cell", "_piece"]
+    counts = placed.groupBy(*key).count().orderBy(*key).collect()
+    rows, seen = [], {}
+    for s, c, p, m in counts:
+        rows.append((s, c, p, seen.get(s, 0)))
+        seen[s] = seen.get(s, 0) + m
+    offsets = spark.createDataFrame(rows, "shard int, _cell int, _piece int, _before long")
+    # one exchange, by piece
+    order = Window.partitionBy(*key).orderBy("h", "k", "size", "text_crc32")
+    numbered = placed.withColumn("_n", (F.row_number().over(order) - 1).cast("long"))
     return (
-        placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long") + offset)
+        numbered.join(F.broadcast(offsets), key)
+        .withColumn("slot", F.col("_n") + F.col("_before"))
         .withColumn("law", F.lit("bytes"))
-        .withColumn("shard", F.floor(F.col("_range") / parts).cast("int"))
         .withColumn("grown_shard", F.lit(None).cast("int"))
-        .drop("_range")
+        .drop("_cell", "_piece", "_n", "_before")
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents themselves, exchanged once into ranges of the order, with ``shard``; sorted inside each range by (hash, id)."""
+    """The documents themselves, exchanged once by (shard, cell of the hash), with ``shard``; sorted in each task by (hash, id)."""
     keys = staged(keyed(docs, text, doc_id), "shard-keys")
     cuts = splitters(keys, shards, tolerance)
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(F.struct("*").alias("_row"), F.xxhash64(body).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOW)).alias("k"))
-    out = out.withColumn("shard", _bucket(cuts).cast("int"))
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "h", "k").select("_row.*", "shard")
+    out = out.withColumn("shard", _shard(cuts))
+    return out.repartition("shard", _cell(6)).sortWithinPartitions("shard", "h", "k").select("_row.*", "shard")
 
 
 COLUMNS = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
