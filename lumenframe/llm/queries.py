@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, quality, sharding
+from . import bpe, licenses, quality, sharding, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def _over_documents(op):
 def queries() -> dict:
     return {
         "op2_byte_bpe": _over_documents(bpe.op2),
+        "op3_window_dedup": _over_documents(substring.op3),
         "op6_histogram_shards": _over_documents(sharding.op6),
         "op7_line_quality": _over_documents(quality.op7),
         "op10_license_scan": _over_documents(licenses.op10),
