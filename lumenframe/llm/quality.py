@@ -57,50 +57,54 @@ def _repeat_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(none, F.lit(0).cast("long")).otherwise(let(windows(ws), covered))
 
 
-def line_fails(line: Column, max_symbols: float = 0.1, max_bars: float = 0.2, max_shouts: float = 0.3, max_repeat: float = 0.6) -> Column:
-    """Whether one line fails a rule. The limits are shares: of characters (symbols), of words (bars, shouted marks, words used before)."""
-
-    def of(ws: Column) -> Column:
-        n = F.size(ws)
-        chars = F.greatest(F.length(F.array_join(ws, "")), F.lit(1))
-        symbols = chars - F.length(F.translate(F.array_join(ws, ""), "#*$%&<>~^{}\\", ""))
-        bars = F.length(line) - F.length(F.translate(line, "|»›", ""))
-        shouts = F.size(F.filter(ws, lambda w: w.endswith("!!")))
-        low = F.lower(line)
-        phrase = F.lit(False)
-        for p in BOILERPLATE:
-            phrase = phrase | F.contains(low, F.lit(p))
-        return (
-            (symbols > max_symbols * chars)
-            | ((bars >= 2) & (bars > max_bars * n))
-            | ((n >= 3) & (shouts > max_shouts * n))
-            | ((n >= 10) & (F.size(F.array_distinct(ws)) < (1 - max_repeat) * n))
-            | (phrase & (n <= 40))
-        )
-
-    return let(words(line), of)
+def _count(text: Column, what: str) -> Column:
+    """How often an ASCII string stands in a text, without overlaps; byte lengths make it cheap."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
+
+
+def _symbols(text: Column) -> Column:
+    out = _count(text, SYMBOLS[0])
+    for c in SYMBOLS[1:]:
+        out = out + _count(text, c)
+    return out.cast("long")
+
+
+def line_fails(line: Column, symbols: Column, max_symbols: float = 0.1, max_bars: float = 0.2, max_shouts: float = 0.3, max_repeat: float = 0.6) -> Column:
+    """Whether one line fails a rule. The limits are shares: of characters (symbols), of words (bars, shouted marks, words used before).
+
+    ``symbols``: how many the whole text holds; a text without any needs no count by line.
+    """
+    n = _count(line, " ") + 1
+    low = lambda x: F.exists(F.array(*[F.lit(p) for p in BOILERPLATE]), lambda p: F.contains(x, p))
+    marked = (_symbols(line) > max_symbols * F.length(line)) | ((_count(line, "|") >= 2) & (_count(line, "|") > max_bars * n))
+    repeats = lambda ws: F.size(F.array_distinct(ws)) < (1 - max_repeat) * F.size(ws)
+    return (
+        ((symbols > 0) & marked)
+        | (F.contains(line, F.lit("!!")) & (n >= 3) & (_count(line, "!!") > max_shouts * n))
+        | ((n <= 40) & let(F.lower(line), low))
+        | ((n >= 10) & let(F.split(line, " "), repeats))
+    )
 
 
 def quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_left: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with the counts, ``clean_text`` (the lines that passed), ``base_failed`` and ``kept``."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_body", body).withColumn("_ws", words(F.col("_body"))).withColumn("_lines", F.split("_body", "\n"))
-    has_word = lambda x: F.length(F.translate(x, SPACES, "")) > 0
-    bare = F.length(F.translate(F.col("_body"), SPACES, ""))
+    has_word = lambda x: F.btrim(x, F.lit(SPACES)) != ""
     out = (
         out.withColumn("n_words", F.size("_ws").cast("long"))
-        .withColumn("word_chars", bare.cast("long"))
-        .withColumn("n_symbols", (F.length("_body") - F.length(F.translate(F.col("_body"), SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_ws", "")).cast("long"))
+        .withColumn("n_symbols", _symbols(F.col("_body")))
         .withColumn("n_dup_lines", let(F.filter("_lines", has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
         .withColumn("n_repeat_words", _repeat_words(F.col("_ws")))
-        .withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-        .withColumn("clean_text", F.array_join("_good", "\n"))
     )
+    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x, F.col("n_symbols"))))
+    out = out.withColumn("clean_text", F.when(F.size("_good") == F.size("_lines"), F.col("_body")).otherwise(F.array_join("_good", "\n")))
     left = F.length(F.translate(F.col("clean_text"), SPACES, ""))
     return (
         out.withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_lines_kept", F.size("_good").cast("long"))
-        .withColumn("left_share", F.when(F.col("word_chars") > 0, left / F.col("word_chars")).otherwise(F.lit(0.0)))
+        .withColumn("left_share", F.when(F.col("word_chars") == 0, F.lit(0.0)).when(F.size("_good") == F.size("_lines"), F.lit(1.0)).otherwise(left / F.col("word_chars")))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("left_share") >= min_left))
         .drop("_body", "_ws", "_lines", "_good")
