@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lm, mixing, quality, sharding, substring, warc
+from . import bpe, licenses, lm, mixing, nearcopies, quality, sharding, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict:
     return {
         "op2_byte_bpe": _over_documents(bpe.op2),
         "op3_window_dedup": _over_documents(substring.op3),
+        "op4_minhash_near": _over_documents(nearcopies.op4),
         "op5_warc_captures": lambda spark, sf_dir: warc.op5(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op6_histogram_shards": _over_documents(sharding.op6),
         "op7_line_quality": _over_documents(quality.op7),
