@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lm, mixing, nearcopies, quality, sharding, substring, warc
+from . import bpe, fingerprints, licenses, lm, mixing, nearcopies, quality, sharding, substring, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def _over_documents(op):
 
 def queries() -> dict:
     return {
+        "op1_iblt_fingerprints": _over_documents(fingerprints.op1),
         "op2_byte_bpe": _over_documents(bpe.op2),
         "op3_window_dedup": _over_documents(substring.op3),
         "op4_minhash_near": _over_documents(nearcopies.op4),
