@@ -17,6 +17,7 @@ def session(app: str = "lumenframe", master: str | None = None) -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.parquet.aggregatePushdown", "true")
     )
     if master is None and "SPARK_MASTER" not in os.environ:
