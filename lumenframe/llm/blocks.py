@@ -129,8 +129,11 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
 
 
-def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, n_bytes, n_docs, body): the documents' ids and texts in compressed blocks, written to the shared folder."""
+def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, extra: str | None = None) -> DataFrame:
+    """(block, n_bytes, n_docs, body): the documents' ids and texts in compressed blocks, written to the shared folder.
+
+    ``extra``: a column of strings that is carried along with the texts.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -139,40 +142,50 @@ def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id",
         number = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         texts: list[bytes] = []
+        extras: list[bytes] = []
         size = 0
 
         def block():
-            body = pack_block(ids, texts)
+            body = pack_block(ids, texts, extras)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())], names=["block", "n_bytes", "n_docs", "body"])
 
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            more = b.column("extra").cast(pa.binary()).to_pylist() if extra else [None] * len(b)
+            for i, t, x in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), more, strict=True):
                 t = b"" if t is None else t
                 if ids and size + len(t) > block_bytes:
                     yield block()
-                    number, ids, texts, size = number + 1, [], [], 0
+                    number, ids, texts, extras, size = number + 1, [], [], [], 0
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
+                if x is not None:
+                    extras.append(x)
                 size += len(t)
         if ids:
             yield block()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *([F.col(extra).alias("extra")] if extra else []))
     return staged(rows.mapInArrow(run, "block long, n_bytes long, n_docs long, body binary"), name, "uncompressed")
 
 
-def pack_block(ids: list[int], texts: list[bytes]) -> bytes:
-    head = np.array(ids, np.int64).tobytes() + np.array([len(t) for t in texts], np.int64).tobytes()
-    return zip_bytes(struct.pack("<I", len(ids)) + head + b"".join(texts), 3)
+def pack_block(ids: list[int], texts: list[bytes], extras: list[bytes] | None = None) -> bytes:
+    parts = [*texts, *(extras or [])]
+    head = np.array(ids, np.int64).tobytes() + np.array([len(t) for t in parts], np.int64).tobytes()
+    return zip_bytes(struct.pack("<II", len(ids), len(parts)) + head + b"".join(parts), 3)
 
 
-def open_block(body: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The ids and texts of a block."""
+def open_parts(body: bytes) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The ids, texts and extra strings of a block."""
     raw = unzip_bytes(body)
-    (n,) = struct.unpack_from("<I", raw)
-    ids, sizes = np.frombuffer(raw, np.int64, n, 4), np.frombuffer(raw, np.int64, n, 4 + 8 * n)
-    ends = np.cumsum(sizes) + 4 + 16 * n
-    return ids, [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    n, m = struct.unpack_from("<II", raw)
+    ids, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, m, 8 + 8 * n)
+    ends = np.cumsum(sizes) + 8 + 8 * n + 8 * m
+    parts = [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+    return ids, parts[:n], parts[n:]
+
+
+def open_block(body: bytes) -> tuple[np.ndarray, list[bytes]]:
+    return open_parts(body)[:2]
 
 
 def bucket_count(blocks: DataFrame) -> int:

@@ -341,3 +341,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str
 
 def op4(docs: DataFrame) -> DataFrame:
     return near_copies(docs.select("doc_id", "text"), shingle=2)
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: of each component the document with the smallest id, as it was; five-word shingles."""
+    gone = near_copies(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

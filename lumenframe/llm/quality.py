@@ -120,5 +120,10 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that pass, as they were."""
-    return quality(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), text="_text").where("kept").select("_row.*")
+    """The pipeline's stage: documents that pass, as they were.
+
+    The filter stands on a generated column: one on ``kept`` would be pushed down and its expressions copied.
+    """
+    judged = quality(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), text="_text")
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return passed.where("_row is not null").select("_row.*")

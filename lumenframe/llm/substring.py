@@ -17,14 +17,14 @@ inside one document stay; extra columns are ignored by the query and kept by the
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .blocks import BASE_WORD, BASE_WORD_2, NO_ID, answer, ask, bucket_count, meet, mix, open_block, pack, restore, run_hashes, word_hashes
+from .blocks import BASE_WORD, BASE_WORD_2, NO_ID, answer, ask, bucket_count, meet, mix, open_parts, pack, restore, run_hashes, word_hashes
 from .common import staged
 
 SIZE = 13
@@ -42,7 +42,7 @@ class Windows:
     """A block's words and its windows."""
 
     def __init__(self, body: bytes, size: int):
-        self.size, (self.ids, self.texts) = size, open_block(body)
+        self.size, (self.ids, self.texts, self.extras) = size, open_parts(body)
         self.hashes, self.first = word_hashes(self.texts)
         counts = np.diff(self.first)
         starts = np.maximum(counts - size + 1, 0)
@@ -194,9 +194,18 @@ def removed_words(w: Windows, hit: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, size: int = SIZE, texts: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each document; with ``texts`` also ``kept_text``, the kept words joined by one space."""
-    blocks = pack(docs, "substring-blocks", text, doc_id)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def cut_words(text: bytes, gone: list[bool]) -> bytes:
+    """The text without the words that are gone, each with the white space after it; all else stays as it was."""
+    lead = text[: len(text) - len(text.lstrip())]
+    return lead + b"".join([m.group() for m, g in zip(_WORD.finditer(text), gone, strict=True) if not g])
+
+
+def dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", extra: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each document; with ``extra`` also that column and ``cut_text``, the text without the removed words (null where none is removed)."""
+    blocks = pack(docs, "substring-blocks", text, doc_id, extra=extra)
     met, find = repeated(blocks, bucket_count(blocks), size)
 
     def run(batches: Iterator) -> Iterator:
@@ -206,7 +215,7 @@ def dedup(docs: DataFrame, size: int = SIZE, texts: bool = False, text: str = "t
             for row in b.to_pylist():
                 w, hit = find(row)
                 gone = removed_words(w, hit)
-                ids, n, lost, sha, kept = [], [], [], [], []
+                ids, n, lost, sha, cut = [], [], [], [], []
                 first = w.first.tolist()
                 for d, t in enumerate(w.texts):
                     words = t.split()
@@ -214,20 +223,28 @@ def dedup(docs: DataFrame, size: int = SIZE, texts: bool = False, text: str = "t
                     k = int(np.count_nonzero(out))
                     if k:
                         words = [x for x, g in zip(words, out.tolist(), strict=True) if not g]
-                    body = b" ".join(words)
                     ids.append(None if w.ids[d] == NO_ID else int(w.ids[d]))
                     n.append(first[d + 1] - first[d])
                     lost.append(k)
-                    sha.append(hashlib.sha256(body).hexdigest())
-                    kept.append(body if texts else None)
+                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    cut.append(cut_words(t, out.tolist()) if k and extra else None)
                 arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if texts:
-                    arrays, names = [*arrays, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+                if extra:
+                    arrays = [*arrays, pa.array(w.extras, pa.binary()).cast(pa.string()), pa.array(cut, pa.binary()).cast(pa.string())]
+                    names = [*names, extra, "cut_text"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", {extra} string, cut_text string" if extra else ""))
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """The pipeline's stage: every document, without the words that repeat a passage of a document with a smaller id."""
+    whole = docs.select("doc_id", "text", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_row"))
+    found = dedup(whole, extra="_row").select("cut_text", F.from_json("_row", docs.schema).alias("r"))
+    text = F.coalesce("cut_text", "r.text")
+    new = {"text": text, "n_chars": F.when(F.col("cut_text").isNull(), F.col("r.n_chars")).otherwise(F.length(text).cast("long"))}
+    return found.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
