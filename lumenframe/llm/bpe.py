@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of the two memos in one Python worker; when one is full it starts anew.
-MEMO = 500_000
+MEMO = 300_000
+#: Rows whose ids are held at once.
+SLICE = 256
 
 
 class Bpe:
@@ -178,10 +180,16 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        import numpy as np
+
         coder = bpe(path, pat)
-        for b in batches:
-            ids = pa.array([coder.encode("" if x is None else x) for x in b.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
+        for whole in batches:
+            for start in range(0, len(whole), SLICE):  # ids take more room than texts
+                b = whole.slice(start, SLICE)
+                found = [np.array(coder.encode_joined(x or "").split(), np.int32) for x in b.column(at).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 

@@ -98,7 +98,8 @@ def quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_
         .withColumn("n_dup_lines", let(F.filter("_lines", has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
         .withColumn("n_repeat_words", _repeat_words(F.col("_ws")))
     )
-    out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x, F.col("n_symbols"))))
+    # bound once: a column that only a lambda names may be inlined and computed again for every line
+    out = out.withColumn("_good", let(_symbols(F.col("_body")), lambda s: F.filter("_lines", lambda x: ~line_fails(x, s))))
     out = out.withColumn("clean_text", F.when(F.size("_good") == F.size("_lines"), F.col("_body")).otherwise(F.array_join("_good", "\n")))
     left = F.length(F.translate(F.col("clean_text"), SPACES, ""))
     return (
