@@ -66,11 +66,14 @@ def schedule(quota: dict) -> list:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` once for each use, with ``block``, ``epoch`` and ``slot`` (all from 0) and ``target_weight``."""
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None) -> DataFrame:
+    """``docs`` once for each use, with ``block``, ``epoch`` and ``slot`` (all from 0) and ``target_weight``.
+
+    ``size``: a column of the documents' bytes, if not those of ``text``.
+    """
     spark = docs.sparkSession
-    size = (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long")
-    rows = docs.withColumn("_size", size).withColumn("_h", F.xxhash64(F.col(doc_id).cast("long"), F.lit(17))).withColumn("_src", F.col(source).cast("string"))
+    bytes_ = F.col(size) if size else (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long")
+    rows = docs.withColumn("_size", bytes_).withColumn("_h", F.xxhash64(F.col(doc_id).cast("long"), F.lit(17))).withColumn("_src", F.col(source).cast("string"))
     bits = 8
     rows = rows.withColumn("_cell", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
     cells = staged(rows.groupBy("_src", "_cell").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_docs")), "mix-cells")
@@ -111,7 +114,30 @@ def op9(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("doc_id", "source", "block", "epoch", "slot", "target_weight")
 
 
+def _squeezed(docs: DataFrame, pack: bool) -> DataFrame:
+    """Texts as compressed bytes in ``_text``, or back again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from .blocks import unzip_bytes, zip_bytes
+
+        for b in batches:
+            at = b.schema.names.index("_text")
+            old = b.column(at).cast(pa.binary()).to_pylist()
+            new = [None if x is None else zip_bytes(x, 3) if pack else unzip_bytes(x) for x in old]
+            column = pa.array(new, pa.binary()) if pack else pa.array(new, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {('binary' if pack else 'string') if f.name == '_text' else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, kinds)
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: the mix in the order of its slots, with the columns of documents."""
-    mixed = mix(docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("text").alias("text")))
-    return mixed.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "epoch", "doc_id").select("_row.*")
+    """The pipeline's stage: the mix in the order of its slots, with the columns of documents. Texts are exchanged compressed."""
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
+    size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("_bytes")
+    rows = _squeezed(docs.select(rest, F.col("text").alias("_text"), "doc_id", "source", size), True)
+    mixed = mix(rows, text="_text", size="_bytes").repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "epoch", "doc_id")
+    back = _squeezed(mixed.select("_rest", "_text"), False)
+    return back.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
