@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import partitions_for, staged
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each key bucket.
 BUCKET_BYTES = 8 << 20
 #: Bytes hashed at once.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of the two memos in one Python worker; when one is full it starts anew.
-MEMO = 300_000
+MEMO = 150_000
 #: Rows whose ids are held at once.
 SLICE = 256
 
