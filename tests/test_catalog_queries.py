@@ -6,9 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lumenframe.plans import catalog_queries as Q
+from lumenframe.plans import catalog_queries, volume_queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = catalog_queries.queries() | volume_queries.queries()
+SQL = catalog_queries.oracle_sql() | volume_queries.oracle_sql()
 
 
 def rows(columns, found):
@@ -21,11 +23,11 @@ def rows(columns, found):
     return [columns[i] for i in order], sorted([tuple(str(plain(r[i])) for i in order) for r in found])
 
 
-@pytest.mark.parametrize("name", sorted(Q.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    df = Q.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    sql = Q.oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql:
         con = duckdb.connect()
         for p in Path(DATA).glob("*.parquet"):
