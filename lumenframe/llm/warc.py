@@ -211,7 +211,7 @@ def loser_tree_merge(segments: list[list[tuple]], key=_order) -> Iterator[tuple]
 
 
 def merged_index(run_rows: DataFrame) -> DataFrame:
-    """All captures in global order: (key_range, place) and the capture's fields."""
+    """All captures with their place in the global order, however the ranges were cut; the range counts are at most ``MAX_RANGES`` rows."""
     total = run_rows.agg(F.sum(F.size("captures"))).first()[0] or 0
     ranges = min(MAX_RANGES, max(partitions_for(run_rows.sparkSession), -(-total // RANGE_ROWS)))
     keep = min(1.0, SAMPLE / max(total, 1))
@@ -241,11 +241,18 @@ def merged_index(run_rows: DataFrame) -> DataFrame:
         for row in sorted(table.to_pylist(), key=lambda r: (r["run"], r["seq"])):
             by_run.setdefault(row["run"], []).extend(tuple(c.values()) for c in row["captures"])
         r = table.column("key_range")[0].as_py()
-        out = [{"key_range": r, "place": i} | dict(zip(FIELDS, c, strict=True)) for i, c in enumerate(loser_tree_merge(list(by_run.values())))]
-        return pa.Table.from_pylist(out, pa.schema([("key_range", pa.int32()), ("place", pa.int64()), *[(f.name, f.type) for f in CAPTURE_ARROW()]]))
+        out = [{"key_range": r, "_n": i} | dict(zip(FIELDS, c, strict=True)) for i, c in enumerate(loser_tree_merge(list(by_run.values())))]
+        return pa.Table.from_pylist(out, pa.schema([("key_range", pa.int32()), ("_n", pa.int64()), *[(f.name, f.type) for f in CAPTURE_ARROW()]]))
 
     segments = run_rows.mapInArrow(cut, f"key_range int, {run_rows.schema['run'].name} string, seq int, captures {run_rows.schema['captures'].dataType.simpleString()}")
-    return segments.groupBy("key_range").applyInArrow(merge, f"key_range int, place long, {CAPTURE}")
+    merged = staged(segments.groupBy("key_range").applyInArrow(merge, f"key_range int, _n long, {CAPTURE}"), "warc-index")
+    # places in the whole index: a range's captures follow those of all earlier ranges
+    rows, before = [], 0
+    for r, n in merged.groupBy("key_range").count().orderBy("key_range").collect():
+        rows.append((r, before))
+        before += n
+    offsets = merged.sparkSession.createDataFrame(rows, "key_range int, _before long")
+    return merged.join(F.broadcast(offsets), "key_range").withColumn("place", F.col("_n") + F.col("_before")).drop("_n", "_before")
 
 
 def archive_and_index(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> DataFrame:
@@ -257,7 +264,7 @@ def archive_and_index(pages: DataFrame, min_bytes: int = 0, path: str | None = N
     return merged_index(staged(runs(archives), "warc-runs"))
 
 
-COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "key_range", "place"]
+COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "place"]
 
 
 def op5(pages: DataFrame) -> DataFrame:
