@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, licenses, lm, mixing, nearcopies, quality, sharding, substring, warc
+from .oracles import oracle_sql  # noqa: F401
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,3 @@ def queries() -> dict:
         "op9_pfair_mix": _over_documents(mixing.op9),
         "op10_license_scan": _over_documents(licenses.op10),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 pytest.importorskip("lumenframe.llm")
-from lumenframe.llm import bpe, fingerprints, licenses, lm, mixing, nearcopies, quality, sharding, substring, warc  # noqa: E402
+from lumenframe.llm import bpe, fingerprints, licenses, lm, mixing, nearcopies, quality, queries, sharding, substring, warc  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _size string, extra int"
@@ -131,8 +131,8 @@ def test_warc(spark):
         body, f = (h or "").encode(), first[h or ""]
         expected.add((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if f < i else "response", f if f < i else None))
     assert {tuple(r)[:5] for r in rows} == expected and len(rows) == len(data)
-    keys = [(r.urlkey, r.captured, r.page_id) for r in sorted(rows, key=lambda r: (r.key_range, r.place))]
-    assert keys == sorted(keys)
+    keys = [(r.urlkey, r.captured, r.page_id) for r in sorted(rows, key=lambda r: r.place)]
+    assert keys == sorted(keys) and sorted(r.place for r in rows) == list(range(len(rows)))
     assert warc.op5(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -203,6 +203,26 @@ def test_license_places(docs, texts):
     assert rows[0].n_base == 0 and rows[0].first_word is None and rows[0].base_labels == ""
 
 
+@pytest.mark.parametrize("name", [k for k in queries.oracle_sql() if "warc" not in k])
+def test_sql_on_awkward_texts(docs, name):
+    duckdb, pa = pytest.importorskip("duckdb"), pytest.importorskip("pyarrow")
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": r.doc_id, "text": r.text} for r in docs.collect()]))
+    got = OPS[name.split("_")[0]](docs)
+    found = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(found, key=str)
+
+
+def test_warc_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
+    got = queries.queries()["op5_warc_captures"](spark, path)
+    found = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op5_warc_captures']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(found, key=str)
+
+
 def test_pipeline_against_its_parts(docs, spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs.drop("extra", "_size")
