@@ -1,11 +1,11 @@
 """Language-model scoring with a weighted backoff automaton of order 2.
 
 Model, learnt from all training documents: unigrams with add-one smoothing over the training words and one unknown word;
-bigrams of frequent words (at least ``min_count`` training tokens; other words are one class) with Dirichlet smoothing,
-P(w | h) = (c(h, w) + k * P(w)) / (c(h) + k). The probabilities of each state sum to 1. As an automaton: every frequent
-word, the start of a text and the empty context (root) are states; a counted bigram is an arc with its whole probability;
-any other word takes the failure arc of weight k / (c(h) + k) to the root and the root's arc from there. A text is read once
-from left to right, which carries the state and adds log10 probabilities.
+bigrams of all training words with Dirichlet smoothing, P(w | h) = (c(h, w) + k * P(w)) / (c(h) + k). The probabilities of
+each state sum to 1. As an automaton: every training word, the start of a text and the empty context (root) are states; a
+counted bigram is an arc with its whole probability; any other word takes the failure arc of weight k / (c(h) + k) to the
+root and the root's arc from there. A text is read once from left to right, which carries the state and adds log10
+probabilities. With ``min_count`` above 1, words with fewer training tokens have no state and are one class in the bigrams.
 
 Counts come through the exchange of ``blocks``: each block asks for the words and bigrams that it holds and gets their
 counts over the corpus, so the automaton that a task holds is as large as its block, never as large as the corpus.
@@ -109,7 +109,7 @@ def _words_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((t.words, [START])), np.concatenate((counts, [np.count_nonzero(~t.held_out)])).astype(np.int64)
 
 
-def score(docs: DataFrame, min_count: int = 64, k: float = 50.0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, min_count: int = 1, k: float = 50.0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     blocks = pack(docs, "lm-blocks", text, doc_id)
     buckets = bucket_count(blocks)
