@@ -1,7 +1,8 @@
 """Line-first quality rules, in built-in functions only.
 
 Every line is judged by itself: punctuation (shares of symbols, shouted marks), navigation (separator bars, link lists),
-boilerplate phrases and repeated words. Lines that fail are taken out, and a document that loses too much of its text,
+boilerplate phrases and repeated words (by stretches and windows, as the share of different words falls with length in any
+prose). Lines that fail are taken out, and a document that loses too much of its text,
 or that fails the base rules, is rejected. All work is per row: one scan, no shuffle, so neither a hot source nor a group
 of copies matters.
 
@@ -24,6 +25,8 @@ BOILERPLATE = (
     "lorem ipsum", "click here to", "sign up for our newsletter", "skip to content", "share on facebook",
 )
 WINDOW = 8
+#: Longest stretch of words over which the share of different words is taken.
+STRETCH = 200
 
 
 def _repeat_words(ws: Column, window: int = WINDOW) -> Column:
@@ -57,6 +60,16 @@ def _repeat_words(ws: Column, window: int = WINDOW) -> Column:
     return F.when(none, F.lit(0).cast("long")).otherwise(let(windows(ws), covered))
 
 
+def _stretch_words(ws: Column, longest: int = STRETCH) -> Column:
+    """Different words of each of the equal stretches that cover a text, added up."""
+
+    def added(length: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(ws), length)
+        return F.aggregate(F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(ws, i, length)))), F.lit(0), lambda a, x: a + x)
+
+    return let(F.ceil(F.size(ws) / F.ceil(F.size(ws) / longest)).cast("int"), added)
+
+
 def _count(text: Column, what: str) -> Column:
     """How often an ASCII string stands in a text, without overlaps; byte lengths make it cheap."""
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
@@ -77,7 +90,10 @@ def line_fails(line: Column, symbols: Column, max_symbols: float = 0.1, max_bars
     n = _count(line, " ") + 1
     low = lambda x: F.exists(F.array(*[F.lit(p) for p in BOILERPLATE]), lambda p: F.contains(x, p))
     marked = (_symbols(line) > max_symbols * F.length(line)) | ((_count(line, "|") >= 2) & (_count(line, "|") > max_bars * n))
-    repeats = lambda ws: F.size(F.array_distinct(ws)) < (1 - max_repeat) * F.size(ws)
+    limit = lambda ws: (1 - max_repeat) * F.size(ws)
+    # the stretches say it of a line of any length, the windows of passages that come back after more than a stretch
+    again = lambda ws: (_stretch_words(ws) < limit(ws)) | (_repeat_words(ws) > max_repeat * F.size(ws))
+    repeats = lambda ws: F.when(F.size(F.array_distinct(ws)) < limit(ws), again(ws)).otherwise(F.lit(False))
     return (
         ((symbols > 0) & marked)
         | (F.contains(line, F.lit("!!")) & (n >= 3) & (_count(line, "!!") > max_shouts * n))
