@@ -3,15 +3,15 @@
 Each source's documents are put in a fixed pseudo-random order and cut into blocks of equal bytes. The i-th block of a
 source of weight w has the release time floor((i - 1) / w) and the deadline ceil(i / w); at every slot the released block
 with the earliest deadline goes next. At any slot every source has had its weight times the slots so far, within less than
-one block. Weights are multiples of 1 / period, so the schedule repeats after ``period`` slots: only one period is computed
-on the driver, whatever the input, and a block's slot is a formula.
+one block. Weights are exact fractions and every slot of the mix is scheduled (on the driver, from the sources' sizes alone).
 
-The mix ends when each document has been used: the source that is largest for its weight is used once, the others start
-over as often as their weights ask (``epoch`` counts), and no document is lost. Default weights are shares of the bytes to
-the power ``temperature``, which lifts small sources.
+The mix ends when the source that has most bytes for its weight has been used once; the others start over as often as their
+weights ask (``epoch`` counts). By then each source has had all its blocks but for one at most that is not due yet: it goes
+with the last slot, so no document is lost. Default weights are shares of the bytes to the power ``temperature``, which
+lifts small sources.
 
 A hot source is numbered in cells of the documents' hashes with partial sums, so no task holds a source. The number of
-sources must be moderate (they are listed on the driver and take at least one slot of a period each).
+sources must be moderate (they are listed on the driver).
 
 Defined results: a null source is a source of its own; null texts weigh one byte; ties of hash are ordered by doc_id; an
 empty table gives an empty mix; extra columns stay.
@@ -19,54 +19,49 @@ empty table gives an empty mix; extra columns stay.
 
 from __future__ import annotations
 
+from array import array
+from fractions import Fraction
 from heapq import heappop, heappush
-from math import ceil
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-PERIOD = 1024
 BLOCK_BYTES = 1 << 17
+#: Slots of a schedule that is broadcast; a longer one is joined as Spark chooses.
+BROADCAST_SLOTS = 1 << 22
 
 
-def quotas(weights: dict, period: int = PERIOD) -> dict:
-    """Slots of each source in a period: largest remainders, at least one for each source of positive weight."""
+def quotas(weights: dict) -> dict:
+    """The weights as whole numbers: a source's weight is exactly its number over the sum of all."""
     names = sorted((s for s in weights if weights[s] > 0), key=lambda s: (s is not None, s or ""))
-    period = max(period, 4 * len(names))
-    total = sum(weights[s] for s in names)
-    out = {s: max(1, int(period * weights[s] / total)) for s in names}
-    rest = sorted(names, key=lambda s: out[s] - period * weights[s] / total)
-    gap = period - sum(out.values())
-    for i in range(abs(gap)):
-        if gap > 0:
-            out[rest[i % len(rest)]] += 1
-        else:
-            out[max(names, key=lambda s: out[s])] -= 1
-    return out
+    exact = {s: Fraction(str(weights[s])) for s in names}
+    unit = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
 
 
-def schedule(quota: dict) -> list:
-    """The source of each slot of one period: earliest deadline first among the released blocks."""
-    period, names = sum(quota.values()), list(quota)
-    release = [[] for _ in range(period)]
-    for k, s in enumerate(names):
-        for i in range(1, quota[s] + 1):
-            # block i may run from floor((i - 1) / w) and must have run by ceil(i / w)
-            end = -(-i * period // quota[s])
-            overlaps = i * period % quota[s] != 0  # its window reaches into the next block's: the tie goes to it
-            release[(i - 1) * period // quota[s]].append((end, not overlaps, k))
+def schedule(quota: dict, slots: int | None = None) -> list:
+    """The source of each slot (of one period, if ``slots`` is not given): earliest deadline first among the released blocks."""
+    total, names = sum(quota.values()), list(quota)
+    share = list(quota.values())
+    coming = [(0, k, 1) for k in range(len(names))]  # release, source and number of each source's next block
     ready: list = []
     out = []
-    for t in range(period):
-        for x in release[t]:
-            heappush(ready, x)
+    for t in range(total if slots is None else slots):
+        while coming and coming[0][0] <= t:
+            _, k, i = heappop(coming)
+            # block i may run from floor((i - 1) / w) and must have run by ceil(i / w)
+            end = -(-i * total // share[k])
+            overlaps = i * total % share[k] != 0  # its window reaches into the next block's: the tie goes to it
+            heappush(ready, (end, not overlaps, k))
+            heappush(coming, (i * total // share[k], k, i + 1))
         out.append(names[heappop(ready)[2]])
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None) -> DataFrame:
     """``docs`` once for each use, with ``block``, ``epoch`` and ``slot`` (all from 0) and ``target_weight``.
 
     ``size``: a column of the documents' bytes, if not those of ``text``.
@@ -83,19 +78,19 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     weights = {s: w for s, w in weights.items() if s in totals}
     if not weights:
         return docs.limit(0).select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("target_weight"))
-    quota = quotas(weights, period)
-    order = schedule(quota)
-    period = len(order)
-    blocks = {s: ceil(totals[s][0] / block_bytes) for s in quota}
-    # slots until the source that is largest for its weight has been used once
-    places = {s: [t for t, x in enumerate(order) if x == s] for s in quota}
-    slot_of = lambda s, i: (i // quota[s]) * period + places[s][i % quota[s]]
-    slots = max(slot_of(s, blocks[s] - 1) for s in quota) + 1
-    uses = {s: (slots // period) * quota[s] + sum(p < slots % period for p in places[s]) for s in quota}
-    plan = spark.createDataFrame(
-        [(s, quota[s], blocks[s], max(uses[s], blocks[s]), places[s], quota[s] / period) for s in quota],
-        "_src string, _quota int, _blocks long, _uses long, _places array<int>, target_weight double",
-    )
+    quota = quotas(weights)
+    total = sum(quota.values())
+    blocks = {s: max(1, -(-totals[s][0] // block_bytes)) for s in quota}
+    # slots until the source that has most bytes for its weight has been used once
+    slots = max(1, *(-(-totals[s][0] * total // (quota[s] * block_bytes)) for s in quota))
+    number = {s: k for k, s in enumerate(quota)}
+    places = {s: array("q") for s in quota}
+    for t, s in enumerate(schedule(quota, slots)):
+        places[s].append(t)
+    for s in quota:
+        if len(places[s]) < blocks[s]:  # its last block is not due yet
+            places[s].append(slots - 1)
+    plan = spark.createDataFrame([(s, number[s], blocks[s], len(places[s]), quota[s] / total) for s in quota], "_src string, _k long, _blocks long, _uses long, target_weight double")
     # bytes of the source before each cell: at most 2 ** bits rows for each source
     before = cells.select("_src", "_cell", (F.sum("_bytes").over(Window.partitionBy("_src").orderBy("_cell")) - F.col("_bytes")).alias("_before"))
     start = before.join(F.broadcast(plan), before["_src"].eqNullSafe(plan["_src"])).drop(plan["_src"])
@@ -105,9 +100,20 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     joined = numbered.join(F.broadcast(start), numbered["_src"].eqNullSafe(src) & (numbered["_cell"] == cell)).drop(src, cell)
     joined = joined.withColumn("block", F.expr(f"(_before + _off) div {block_bytes}"))
     use = joined.withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_uses - 1 - block) div _blocks))")))
-    i = F.col("block") + F.col("epoch") * F.col("_blocks")
-    slot = F.expr("((block + epoch * _blocks) div _quota)") * period + F.get(F.col("_places"), (i % F.col("_quota")).cast("int"))
-    return use.withColumn("slot", slot.cast("long")).select(*docs.columns, "block", "epoch", "slot", "target_weight")
+    use = use.withColumn("_place", F.shiftleft("_k", 40) + F.col("block") + F.col("epoch") * F.col("_blocks"))
+    order = _places(spark, [places[s] for s in quota])
+    order = F.broadcast(order) if slots <= BROADCAST_SLOTS else order
+    return use.join(order, "_place").select(*docs.columns, "block", "epoch", "slot", "target_weight")
+
+
+def _places(spark: SparkSession, places: list[array]) -> DataFrame:
+    """(_place, slot): the slot of each source's i-th block, under the source's number in the high bits and i in the low 40."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys = np.concatenate([np.arange(len(p), dtype=np.int64) + (k << 40) for k, p in enumerate(places)])
+    slots = np.concatenate([np.frombuffer(p, np.int64) for p in places])
+    return spark.createDataFrame(pa.table({"_place": keys, "slot": slots}), "_place long, slot long")
 
 
 def op9(docs: DataFrame) -> DataFrame:
