@@ -7,28 +7,34 @@ Compatibility depends only on the pair and is memoised. Where no match is compat
 where none is left the last token is taken back and its end is marked as dead, so that no position is tried twice: time is
 linear in the piece. The result equals that of merging by ranks.
 
-Memory on an executor is the vocabulary, the pair memo and a memo of pieces, both of a fixed size. Rows are encoded one
-by one in Arrow batches; there is no shuffle.
+Memory on an executor is the vocabulary, the pair memo and a memo of pieces, both of a fixed size and dropped at the end of a
+partition. Texts are encoded in slices of Arrow batches, and ids are turned into bytes and decimals for a slice at once;
+there is no shuffle.
 
 Defined results: null and empty texts have no tokens, and the hashes of the empty string; repeated rows are encoded alike;
-extra columns are ignored by the query and kept by ``encode``.
+extra columns are ignored by the query and kept by ``encode``, unless they have the name of its result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the two memos in one Python worker; when one is full it starts anew.
-MEMO = 150_000
-#: Rows whose ids are held at once.
-SLICE = 256
+from .common import tidy
+
+#: Entries of the memos in one Python worker, and the longest piece (in characters) that is kept.
+MEMO, LONGEST = 250_000, 256
+#: Rows whose ids are held at once, and ids whose strings are put together at once.
+SLICE, AT_ONCE = 256, 1 << 17
 
 
 class Bpe:
@@ -36,10 +42,11 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
-        import regex
 
-        self.ranks, self.split = ranks, regex.compile(pattern)
+        self.ranks, self.split = ranks, splitter(pattern)
         self.of = {i: t for t, i in ranks.items()}
+        self.strings = Table(self.of)
+        self.decimals = Table({i: b"%d " % i for i in self.of})
         self.trie = ahocorasick.Automaton()
         for t, i in ranks.items():
             self.trie.add_word(t.decode("latin-1"), (i, len(t)))
@@ -49,8 +56,17 @@ class Bpe:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.length = {i: len(t) for t, i in ranks.items()}
-        self.pieces: dict[str, str] = {}
-        self.text_of = {str(i): t for t, i in ranks.items()}
+        self.whole = {}
+        for t, i in ranks.items():
+            try:
+                self.whole[t.decode()] = array("i", [i]).tobytes()
+            except UnicodeDecodeError:  # part of a character, so never a piece
+                pass
+        self.pieces = Pieces(self)
+
+    def forget(self) -> None:
+        """Drops the memos, so that an idle worker holds the vocabulary only."""
+        self.pieces, self.pairs = Pieces(self), {}
 
     def _prefix(self, token: int) -> int | None:
         if token not in self.shorter:
@@ -98,12 +114,23 @@ class Bpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        text, n = data.decode("latin-1"), len(data)
+        pairs, length = self.pairs, self.length
+        # longest matches that tile the piece are its encoding if all neighbours are compatible
+        tiles, last, size = [], -1, 0
+        for _, (i, k) in self.trie.iter_long(text):
+            if last >= 0:
+                ok = pairs.get(last << 32 | i)
+                if not (self.compatible(last, i) if ok is None else ok):
+                    break
+            tiles.append(i)
+            last, size = i, size + k
+        if size == n:
+            return tiles
         # the longest entry that starts at each position: matches come by their end, the longest of an end first
-        n = len(data)
         longest: list[int] = [0] * n
-        for end, (i, k) in self.trie.iter(data.decode("latin-1")):
+        for end, (i, k) in self.trie.iter(text):
             longest[end - k + 1] = i  # a later end at the same start is a longer entry
-        pairs, length = self.pairs, self.length
         dead: set[int] = set()
         out: list[int] = []
         at, last, token = 0, -1, longest[0]
@@ -129,28 +156,87 @@ class Bpe:
                 last = out[-1] if out else -1
                 token = self._prefix(token)
 
-    def encode_joined(self, text: str) -> str:
-        """The ids of a text in decimal, joined by one space."""
-        memo, found = self.pieces, []
-        for p in self.split.findall(text):
-            ids = memo.get(p)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                data = p.encode()
-                ids = " ".join(map(str, self.piece(data)))
-                if len(data) <= 64:
-                    memo[p] = ids
-            found.append(ids)
-        return " ".join(found)
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, one after the other."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.encode_joined(text).split()]
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(self.of[i] for i in ids)
 
 
+class Pieces(dict):
+    """The packed ids of pieces met so far: all that are one token, and up to ``MEMO`` others; then it starts anew."""
+
+    def __init__(self, coder: Bpe):
+        super().__init__(coder.whole)
+        self.coder, self.room = coder, len(coder.whole) + MEMO
+
+    def __missing__(self, text: str) -> bytes:
+        found = array("i", self.coder.piece(text.encode())).tobytes()
+        if len(text) <= LONGEST:
+            if len(self) >= self.room:
+                self.clear()
+                self.update(self.coder.whole)
+            self[text] = found
+        return found
+
+
+class Table:
+    """Byte strings by token id, for putting together many of them at once."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        sizes = np.zeros(max(strings) + 1, np.int64)
+        sizes[list(strings)] = [len(x) for x in strings.values()]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.flat = np.frombuffer(b"".join(strings[i] for i in sorted(strings)), np.uint8)
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[memoryview]:
+        """The joined strings of each of consecutive groups of ``counts`` ids."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ids) else 0, np.uint8)
+        for a in range(0, len(ids), AT_ONCE):
+            z = min(len(ids), a + AT_ONCE)
+            first = int(ends[a] - sizes[a])
+            places = np.arange(first, int(ends[z - 1])) + np.repeat(self.starts[ids[a:z]] - (ends[a:z] - sizes[a:z]), sizes[a:z])
+            out[first : int(ends[z - 1])] = self.flat[places]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        whole = memoryview(out)
+        return [whole[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+
+
+def splitter(pattern: str):
+    """``findall`` of the pattern, with its classes of letters, numbers and white space written out as ranges.
+
+    The standard library's engine is twice as fast on ranges as one that looks every character's properties up. The ranges
+    are taken from the latter, so both agree. A pattern with other properties, and a text with characters above U+FFFF, for
+    which the ranges are not written out, go to the latter itself.
+    """
+    import regex
+
+    slow = regex.compile(pattern).findall
+    if re.search(r"\\[pP]\{(?![LN]\})|\\P|\(\?[^!:=]", pattern):
+        return slow
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    spans = lambda x: [(m.group()[0], m.group()[-1]) for m in regex.finditer(x + "+", every)]
+    written = {x: "".join(re.escape(a) + "-" + re.escape(z) for a, z in spans(x)) for x in (r"\p{L}", r"\p{N}", r"\s")}
+    out, in_class = [], False
+    for part in re.findall(r"\\p\{[LN]\}|\\.|.", pattern, re.DOTALL):
+        if part in written:
+            part = written[part] if in_class else f"[{written[part]}]"
+        elif part == r"\S" and not in_class:
+            part = f"[^{written[chr(92) + 's']}]"
+        elif part == r"\S":
+            return slow
+        in_class = part == "[" or (in_class and part != "]")
+        out.append(part)
+    fast, high = re.compile("".join(out)).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: fast(text) if text.isascii() or not high(text) else slow(text)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -167,31 +253,33 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _texts(batch, column: str) -> list[str]:
-    return ["" if x is None else x for x in batch.column(column).to_pylist()]
+def _coded(coder: Bpe, batches: Iterator, at: int) -> Iterator:
+    """Slices of the batches, each with its texts' ids and how many each text has."""
+    for whole in batches:
+        for start in range(0, len(whole), SLICE):  # ids take more room than texts
+            b = whole.slice(start, SLICE)
+            packed = [coder.packed(x or "") for x in b.column(at).to_pylist()]
+            yield b, np.frombuffer(b"".join(packed), np.int32), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each text as an array of ints."""
+    """``docs`` with the ids of each text as an array of ints in ``out``, which replaces a column of that name."""
     path, pat = (vocabulary, pattern) if vocabulary and pattern else default_vocabulary()
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    keep = [i for i, c in enumerate(docs.columns) if c != out]
+    schema = T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
     at = docs.columns.index(text)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        import numpy as np
-
         coder = bpe(path, pat)
-        for whole in batches:
-            for start in range(0, len(whole), SLICE):  # ids take more room than texts
-                b = whole.slice(start, SLICE)
-                found = [np.array(coder.encode_joined(x or "").split(), np.int32) for x in b.column(at).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out])
+        for b, ids, counts in _coded(coder, batches, at):
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], found], names=schema.names)
+        coder.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -202,19 +290,13 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
         import pyarrow as pa
 
         coder = bpe(path, pat)
-        text_of = coder.text_of
-        for b in batches:
-            n, ids_hash, decoded_hash = [], [], []
-            for text in _texts(b, "text"):
-                joined = coder.encode_joined(text)
-                ids = joined.split(" ") if joined else []
-                decoded = b"".join(map(text_of.__getitem__, ids))
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded_hash.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b, ids, counts in _coded(coder, batches, 1):
+            ids_hash = [hashlib.sha256(x[:-1]).hexdigest() for x in coder.decimals.join(ids, counts)]
+            decoded_hash = [hashlib.sha256(x).hexdigest() for x in coder.strings.join(ids, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.select("doc_id").schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), T.StructType([docs.select("doc_id").schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -222,5 +304,8 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's last stage: each document with its ids; ``token_ids`` beside the columns of documents."""
-    return encode(docs).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """The pipeline's last stage: each document with its ids; ``token_ids`` and ``n_tokens`` beside the columns of documents.
+
+    Columns of these two names in ``docs`` are replaced.
+    """
+    return encode(docs.drop("n_tokens")).withColumn("n_tokens", F.size("token_ids").cast("long"))

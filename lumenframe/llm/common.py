@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_already = sc.getCheckpointDir()
     if set_already:
         return set_already
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lumenframe-")
     sc.setCheckpointDir(made)
@@ -57,3 +60,27 @@ def words(text: Column) -> Column:
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     """The number of shuffle partitions that the session is set to."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers stay alive between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for one partition; what it has used is released at the end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return whole
