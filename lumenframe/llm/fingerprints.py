@@ -5,7 +5,8 @@ adds every distinct digest to three cells, which hold a count, the XOR of digest
 subtract cell by cell: what both texts share cancels, and peeling (taking out cells that hold a single digest, again and
 again) recovers the digests that differ. The fingerprint is a sketch of ``3 * SMALL`` cells. Where it does not peel, the pair
 is sketched again, larger: digests are dealt by hash over tables of ``3 * LARGE`` cells, their number taken from the squared
-counts of the small sketch (an estimate of how many digests differ) and doubled until every table peels.
+counts of the small sketch (an estimate of how many digests differ) and doubled until every table peels. What is published is
+the small sketch; ``near_*`` come from the sketch that peeled.
 
 All of this is within a row. The only exchange brings each document to the next one: documents are ranged by doc_id at
 estimated quantiles, and the first document of each range is sent to the range before it too, so no task orders them all.
@@ -17,6 +18,8 @@ is its own next one; extra columns are ignored by the query.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,16 +96,24 @@ def differing(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
         first = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(guess, F.lit(1.0)) / LARGE))).cast("int")
 
         def attempt(t: Column) -> Column:
-            tables = F.call_function("shiftleft", F.lit(1), t)
-            salt, g = t + 1, F.lit(LARGE)
-            mine = lambda keys, s: F.filter(keys, lambda k: F.shiftrightunsigned(k, 33).bitwiseAND(tables.cast("long") - 1) == s)
-            table = lambda s: peel(subtract(sketch(mine(a, s), salt, g), sketch(mine(b, s), salt, g)), salt, g)
+            # digests are dealt in two steps, first by the high half of the table's number, so that each is looked at
+            # about twice the square root of the tables' number of times
+            salt, g, low = t + 1, F.lit(LARGE), F.call_function("shiftright", t, F.lit(1))
+            size = lambda bits: F.call_function("shiftleft", F.lit(1), bits)
+            number = lambda k: F.shiftrightunsigned(k, 33).bitwiseAND(size(t).cast("long") - 1)
+            high_of = lambda k: F.call_function("shiftright", number(k), low)
+            low_of = lambda k: number(k).bitwiseAND(size(low).cast("long") - 1)
+            dealt = lambda keys, of, s: F.filter(keys, lambda k: of(k) == s)
+            table = lambda x, s: peel(subtract(sketch(dealt(x["a"], low_of, s), salt, g), sketch(dealt(x["b"], low_of, s), salt, g)), salt, g)
+            numbers = lambda bits: F.sequence(F.lit(0), size(bits) - 1)
             # null if one table does not peel; later tables are then left out
-            return F.aggregate(F.sequence(F.lit(0), tables - 1), F.lit(0), lambda acc, s: F.when(acc.isNotNull(), acc + table(s)))
+            inside = lambda x, acc: F.aggregate(numbers(low), acc, lambda acc, s: F.when(acc.isNotNull(), acc + table(x, s)))
+            half = lambda s: F.struct(dealt(a, high_of, s).alias("a"), dealt(b, high_of, s).alias("b"))
+            return F.aggregate(numbers(t - low), F.lit(0), lambda acc, s: F.when(acc.isNotNull(), let(half(s), lambda x: inside(x, acc))))
 
         tried = F.aggregate(F.sequence(first, first + RETRIES), F.lit(None).cast("int"), lambda acc, t: F.when(acc.isNotNull(), acc).otherwise(attempt(t)))
-        # not seen in practice: a dozen doublings that all fail
-        return F.coalesce(tried, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+        # a table of the last attempts holds fewer than one digest on average
+        return F.coalesce(tried, F.raise_error(F.lit("a difference of fingerprints does not peel")).cast("int"))
 
     return let(subtract(small_a, small_b), lambda cells: F.coalesce(peel(cells, F.lit(0), small), retry(cells)))
 
@@ -123,27 +134,45 @@ def printed(cells: Column, keys: Column) -> Column:
     return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(cells, one), "|"))
 
 
+def _range_of(limits: list[tuple[int, int]], at: Column) -> Column:
+    """How many of the sorted limits are at or below ``at``, by halving."""
+    if not limits:
+        return F.lit(0)
+    every = F.array(*[F.struct(F.lit(x).cast("long").alias("o"), F.lit(y).cast("long").alias("h")) for x, y in limits])
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.call_function("shiftright", s["lo"] + s["hi"], F.lit(1))
+        below = F.get(every, mid) <= at
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(limits).bit_length())), start, halve, lambda s: s["lo"])
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id, ...) with ``next_<column>`` of the next document by descending doc_id; the last one's is the first."""
+    """``docs`` (doc_id, ...) with ``next_<column>`` of the next document by descending doc_id; the last one's is the first.
+
+    Ranges are cut at estimated quantiles of doc_id; an id that fills several ranges is cut by the hash of its rows as well.
+    """
     n = partitions_for(docs.sparkSession)
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []))
-    limits = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("_range", F.size(F.filter(limits, lambda c: c <= F.col("_k"))))
-    heads = sorted(rows.groupBy("_range").agg(F.max("_k")).collect())  # at most one row for each range
+    # an order in which larger ids come first and null ids last; the complement of a number never overflows
+    rows = docs.withColumn("_o", F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)))).withColumn("_h", F.xxhash64(*columns))
+    found = Counter(rows.agg(F.percentile_approx("_o", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [])
+    limits = sorted((o, LOW + j * (2**64 // m)) for o, m in found.items() for j in range(m))
+    place = F.struct(F.col("_o").alias("o"), F.col("_h").alias("h"))
+    rows = rows.withColumn("_range", _range_of(limits, place))
+    heads = sorted(rows.groupBy("_range").agg(F.min(place)).collect())  # at most one row for each range
     if not heads:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    # the first document of a range follows the last one of the range above; the very first follows the very last
-    above = [r for r, _ in heads[1:]] + [heads[0][0]]
-    ghost = F.lit(None).cast("int")
-    lookup = F.create_map(*[x for (r, _), to in zip(heads, above, strict=True) for x in (F.lit(r), F.lit(to))])
-    tops = F.create_map(*[x for r, top in heads for x in (F.lit(r), F.lit(top).cast("long"))])
-    ghost = F.when(F.col("_k") == F.element_at(tops, F.col("_range")), F.element_at(lookup, F.col("_range")))
+    # the first document of a range follows the last one of the range before; the very first follows the very last
+    before = [heads[-1][0]] + [r for r, _ in heads[:-1]]
+    ghosts = F.create_map(*[x for (r, top), to in zip(heads, before, strict=True) for x in (F.lit(r), F.struct(F.lit(to).alias("to"), F.lit(top[0]).cast("long").alias("o"), F.lit(top[1]).cast("long").alias("h")))])
+    ghost = let(F.element_at(ghosts, F.col("_range")), lambda g: F.when((F.col("_o") == g["o"]) & (F.col("_h") == g["h"]), g["to"]))
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("g"))
-    places = F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, F.struct(ghost.alias("r"), F.lit(1).alias("g"))))
+    places = let(ghost, lambda g: F.when(g.isNull(), F.array(own)).otherwise(F.array(own, F.struct(g.alias("r"), F.lit(1).alias("g")))))
     dealt = rows.withColumn("_p", F.explode(places)).withColumn("_r", F.col("_p.r")).withColumn("_g", F.col("_p.g")).drop("_p", "_range")
-    order = Window.partitionBy("_r").orderBy("_g", F.desc("_k"), F.xxhash64(*columns), *columns)
-    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("_g = 0").drop("_k", "_r", "_g")
+    order = Window.partitionBy("_r").orderBy("_g", "_o", "_h", *columns)
+    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("_g = 0").drop("_o", "_h", "_r", "_g")
 
 
 def compare(docs: DataFrame) -> DataFrame:
