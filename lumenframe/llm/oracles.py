@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import BREAK, PHRASES, TEMPLATES
-from .quality import BOILERPLATE, SYMBOLS, WINDOW
+from .quality import BOILERPLATE, BOILERPLATE_WORDS, SYMBOLS, WINDOW
 from .substring import SIZE
 from .warc import BASE32, EPOCH
 
@@ -60,7 +60,10 @@ def quality_sql(min_words: int = 20, max_repeat_pct: int = 30, min_left: float =
     """op7: the line rules with the default limits, and windows compared as strings."""
     symbols = lambda x: f"length(regexp_replace({x}, '[^{SYMBOLS}]', '', 'g'))"
     spaces = "(len(string_split(x, ' ')))"
-    phrase = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+    times = lambda x, what: f"((strlen({x}) - strlen(replace({x}, '{what}', ''))) / {len(what.encode())})"
+    phrase = " + ".join(f"{BOILERPLATE_WORDS} * {times('lower(x)', p)}" for p in BOILERPLATE)
+    links = "(" + " + ".join(times("x", p) for p in ("http://", "https://", "www.")) + ")"
+    menu = "(" + " + ".join(times("x", p) for p in (" > ", " » ", " · ", " • ")) + ")"
     bars = "(length(x) - length(replace(x, '|', '')))"
     shouts = "((length(x) - length(replace(x, '!!', ''))) / 2)"
     return f"""
@@ -77,7 +80,8 @@ WITH d AS MATERIALIZED (
   SELECT rid, x,
     {symbols("x")} > 0.1::DOUBLE * length(x) OR ({bars} >= 2 AND {bars} > 0.2::DOUBLE * {spaces})
     OR ({spaces} >= 3 AND {shouts} > 0.3::DOUBLE * {spaces})
-    OR ({spaces} <= 40 AND ({phrase}))
+    OR ({links} >= 2 AND {links} >= 0.5::DOUBLE * {spaces}) OR ({menu} >= 3 AND {menu} > 0.2::DOUBLE * {spaces})
+    OR ({phrase}) >= {spaces}
     OR ({spaces} >= 10 AND len(list_distinct(string_split(x, ' '))) < 0.4::DOUBLE * {spaces}) AS bad,
     regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g') AS solid
   FROM (SELECT rid, unnest(string_split(body, chr(10))) AS x FROM d)

@@ -1,9 +1,9 @@
 """Line-first quality rules, in built-in functions only.
 
-Every line is judged by itself: punctuation (shares of symbols, shouted marks), navigation (separator bars, link lists),
-boilerplate phrases and repeated words (by stretches and windows, as the share of different words falls with length in any
+Every line is judged by itself: punctuation (shares of symbols, shouted marks), navigation (separator bars, menus, lists of
+links), boilerplate phrases (by how many words there are to each) and repeated words (by stretches and windows, as the share of different words falls with length in any
 prose). Lines that fail are taken out, and a document that loses too much of its text,
-or that fails the base rules, is rejected. All work is per row: one scan, no shuffle, so neither a hot source nor a group
+or that fails the base rules, is rejected; the others go on without the lines that failed. All work is per row: one scan, no shuffle, so neither a hot source nor a group
 of copies matters.
 
 Defined results: a null or empty text has no words, counts of 0, ``base_failed`` true (fewer than ``min_words`` words)
@@ -24,6 +24,8 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "enable javascript",
     "lorem ipsum", "click here to", "sign up for our newsletter", "skip to content", "share on facebook",
 )
+#: A phrase fails a line of at most so many words for each time it stands there.
+BOILERPLATE_WORDS = 40
 WINDOW = 8
 #: Longest stretch of words over which the share of different words is taken.
 STRETCH = 200
@@ -71,25 +73,30 @@ def _stretch_words(ws: Column, longest: int = STRETCH) -> Column:
 
 
 def _count(text: Column, what: str) -> Column:
-    """How often an ASCII string stands in a text, without overlaps; byte lengths make it cheap."""
-    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
+    """How often a string stands in a text, without overlaps; byte lengths make it cheap."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what.encode())
 
 
 def _symbols(text: Column) -> Column:
-    out = _count(text, SYMBOLS[0])
-    for c in SYMBOLS[1:]:
-        out = out + _count(text, c)
-    return out.cast("long")
+    """How many symbols a text holds: its bytes less those that are left without them."""
+    return (F.octet_length(text) - F.octet_length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
-def line_fails(line: Column, symbols: Column, max_symbols: float = 0.1, max_bars: float = 0.2, max_shouts: float = 0.3, max_repeat: float = 0.6) -> Column:
-    """Whether one line fails a rule. The limits are shares: of characters (symbols), of words (bars, shouted marks, words used before).
+def line_fails(line: Column, symbols: Column, text: Column, max_symbols: float = 0.1, max_bars: float = 0.2, max_shouts: float = 0.3, max_repeat: float = 0.6, max_links: float = 0.5) -> Column:
+    """Whether one line fails a rule. The limits are shares: of characters (symbols), of words (bars, shouted marks, links, words used before).
 
-    ``symbols``: how many the whole text holds; a text without any needs no count by line.
+    ``symbols``: how many the whole ``text`` holds; a text without any needs no count by line, and a text without a phrase or a
+    link no search by line.
     """
     n = _count(line, " ") + 1
-    low = lambda x: F.exists(F.array(*[F.lit(p) for p in BOILERPLATE]), lambda p: F.contains(x, p))
+    phrases = F.array(*[F.lit(p) for p in BOILERPLATE])
+    low = lambda x: F.exists(phrases, lambda p: F.contains(x, p))
+    # a phrase must make up a good part of the line, however long it is
+    much = lambda x: F.aggregate(phrases, F.lit(0.0), lambda a, p: a + F.when(F.contains(x, p), BOILERPLATE_WORDS * (F.octet_length(x) - F.octet_length(F.replace(x, p, F.lit("")))) / F.octet_length(p)).otherwise(0.0)) >= n
     marked = (_symbols(line) > max_symbols * F.length(line)) | ((_count(line, "|") >= 2) & (_count(line, "|") > max_bars * n))
+    links = _count(line, "http://") + _count(line, "https://") + _count(line, "www.")
+    # menus: several separators between short entries
+    menu = _count(line, " > ") + _count(line, " » ") + _count(line, " · ") + _count(line, " • ")
     limit = lambda ws: (1 - max_repeat) * F.size(ws)
     # the stretches say it of a line of any length, the windows of passages that come back after more than a stretch
     again = lambda ws: (_stretch_words(ws) < limit(ws)) | (_repeat_words(ws) > max_repeat * F.size(ws))
@@ -97,11 +104,19 @@ def line_fails(line: Column, symbols: Column, max_symbols: float = 0.1, max_bars
     return (
         ((symbols > 0) & marked)
         | (F.contains(line, F.lit("!!")) & (n >= 3) & (_count(line, "!!") > max_shouts * n))
-        | ((n <= 40) & let(F.lower(line), low))
+        | (text["links"] & (links >= 2) & (links >= max_links * n))
+        | (text["menus"] & (menu >= 3) & (menu > max_bars * n))
+        | (text["phrases"] & let(F.lower(line), low) & let(F.lower(line), much))
         | ((n >= 10) & let(F.split(line, " "), repeats))
     )
 
 
+def text_marks(text: Column) -> Column:
+    """What a whole text holds of that by which lines are judged."""
+    any_of = lambda x, items: F.exists(F.array(*[F.lit(p) for p in items]), lambda p: F.contains(x, p))
+    return F.struct(any_of(text, ("http", "www.")).alias("links"), any_of(text, (" > ", " » ", " · ", " • ")).alias("menus"), let(F.lower(text), lambda x: any_of(x, BOILERPLATE)).alias("phrases"))
+
+
 def quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_left: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with the counts, ``clean_text`` (the lines that passed), ``base_failed`` and ``kept``."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -115,7 +130,7 @@ def quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, min_
         .withColumn("n_repeat_words", _repeat_words(F.col("_ws")))
     )
     # bound once: a column that only a lambda names may be inlined and computed again for every line
-    out = out.withColumn("_good", let(_symbols(F.col("_body")), lambda s: F.filter("_lines", lambda x: ~line_fails(x, s))))
+    out = out.withColumn("_good", let(F.struct(_symbols(F.col("_body")).alias("n"), text_marks(F.col("_body")).alias("m")), lambda s: F.filter("_lines", lambda x: ~line_fails(x, s["n"], s["m"]))))
     out = out.withColumn("clean_text", F.when(F.size("_good") == F.size("_lines"), F.col("_body")).otherwise(F.array_join("_good", "\n")))
     left = F.length(F.translate(F.col("clean_text"), SPACES, ""))
     return (
@@ -136,11 +151,14 @@ def op7(docs: DataFrame) -> DataFrame:
     return quality(docs.select("doc_id", "text")).select(*COLUMNS)
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that pass, as they were.
+def stage(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """The pipeline's stage: documents that pass, without the lines that failed; ``n_chars``, if there is one, follows the text.
 
     The filter stands on a generated column: one on ``kept`` would be pushed down and its expressions copied.
     """
-    judged = quality(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), text="_text")
-    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
-    return passed.where("_row is not null").select("_row.*")
+    judged = quality(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), min_words=min_words, text="_text")
+    passed = judged.select(F.explode_outer(F.when(F.col("kept"), F.array(F.struct("_row", "clean_text", (F.col("n_lines_kept") < F.col("n_lines")).alias("cut"))))).alias("r")).where("r is not null")
+    new = {"text": F.col("r.clean_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("r.cut"), F.length("r.clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r._row.n_chars"))
+    return passed.select(*[new[c].alias(c) if c in new else F.col(f"r._row.`{c}`").alias(c) for c in docs.columns])
