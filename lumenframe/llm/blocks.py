@@ -1,9 +1,14 @@
 """Blocks of documents, word hashes, and the exchange by which blocks learn corpus-wide facts about their own keys.
 
-Documents are packed into compressed blocks of bounded size. For a corpus-wide question (how often does this key occur,
-which is the smallest document that holds it) every block sends its own distinct keys to key buckets, each bucket answers
-each block, and the answers meet the block again. A key that stands in a third of all documents costs one entry a block, so
-no task grows with a hot key, and nothing is broadcast or gathered on the driver but a few sums.
+Documents are packed into blocks of bounded size, each of several compressed frames, of which a task opens one at a time. For a
+corpus-wide question (how often does this key occur, which is the smallest document that holds it) every block sends its own
+distinct keys to key buckets, each bucket replies to each block about the keys that others hold too, and the replies meet the
+block again. A key that stands in a third of all documents costs one entry a block, so no task grows with a hot key, and
+nothing is broadcast or gathered on the driver but a few sums. What is exchanged is proportional to the keys: a row holds those
+of one block for one bucket, and blocks and buckets are as large as tasks of an ordinary exchange.
+
+Word hashes are polynomials modulo 2**64 of the words' bytes, scrambled. Ordinary words do not collide; words of over a
+thousand bytes can be made up that do.
 """
 
 from __future__ import annotations
@@ -15,12 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, staged
+from .common import partitions_for, staged, tidy
 
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
-#: Bytes of text for each key bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text in a frame, which a task opens at once; a longer document is a frame of its own.
+FRAME_BYTES = 4 << 20
+#: Bytes of text in a block and, on average, behind a key bucket.
+BLOCK_BYTES = BUCKET_BYTES = 32 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 #: Odd multipliers of the polynomial hashes modulo 2**64.
@@ -129,9 +134,10 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
 
 
-def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, extra: str | None = None) -> DataFrame:
-    """(block, n_bytes, n_docs, body): the documents' ids and texts in compressed blocks, written to the shared folder.
+def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", extra: str | None = None) -> DataFrame:
+    """(block, n_bytes, n_docs, frames): the documents' ids and texts in blocks, written to the shared folder.
 
+    A block's number is that of its first row; rows are numbered one by one, so every row has a number of its own.
     ``extra``: a column of strings that is carried along with the texts.
     """
 
@@ -139,33 +145,39 @@ def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id",
         import pyarrow as pa
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 40
         ids: list[int] = []
         texts: list[bytes] = []
         extras: list[bytes] = []
-        size = 0
+        frames: list[bytes] = []
+        size = total = n_docs = 0
 
         def block():
-            body = pack_block(ids, texts, extras)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())], names=["block", "n_bytes", "n_docs", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([frames], pa.list_(pa.binary()))], names=["block", "n_bytes", "n_docs", "frames"])
 
         for b in batches:
             more = b.column("extra").cast(pa.binary()).to_pylist() if extra else [None] * len(b)
             for i, t, x in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), more, strict=True):
                 t = b"" if t is None else t
-                if ids and size + len(t) > block_bytes:
-                    yield block()
-                    number, ids, texts, extras, size = number + 1, [], [], [], 0
+                if ids and size + len(t) > FRAME_BYTES:
+                    frames.append(pack_block(ids, texts, extras))
+                    total, n_docs = total + size, n_docs + len(ids)
+                    ids, texts, extras, size = [], [], [], 0
+                    if total + len(t) > BLOCK_BYTES:
+                        yield block()
+                        number, frames, total, n_docs = number + n_docs, [], 0, 0
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
                 if x is not None:
                     extras.append(x)
                 size += len(t)
         if ids:
+            frames.append(pack_block(ids, texts, extras))
+            total, n_docs = total + size, n_docs + len(ids)
             yield block()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *([F.col(extra).alias("extra")] if extra else []))
-    return staged(rows.mapInArrow(run, "block long, n_bytes long, n_docs long, body binary"), name, "uncompressed")
+    return staged(rows.mapInArrow(tidy(run), "block long, n_bytes long, n_docs long, frames array<binary>"), name, "uncompressed")
 
 
 def pack_block(ids: list[int], texts: list[bytes], extras: list[bytes] | None = None) -> bytes:
@@ -188,76 +200,119 @@ def open_block(body: bytes) -> tuple[np.ndarray, list[bytes]]:
     return open_parts(body)[:2]
 
 
+def rows_of(batches: Iterator) -> Iterator[dict]:
+    """The rows of Arrow batches, one at a time."""
+    for b in batches:
+        for i in range(len(b)):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def bucket_count(blocks: DataFrame) -> int:
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     return max(partitions_for(blocks.sparkSession), -(-total // BUCKET_BYTES))
 
 
-def ask(blocks: DataFrame, fn: Callable, buckets: int) -> DataFrame:
-    """``fn(row)`` gives a block's distinct keys (uint64, any order) and further arrays; entry by bucket of the key's high bits."""
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket is a range of keys: sorted keys have sorted buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for b in batches:
-            for row in b.to_pylist():
-                keys, *more = fn(row)
-                if not len(keys):
-                    continue
-                bucket = bucket_of(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                numbers, starts = np.unique(bucket[order], return_index=True)
-                cuts = [*starts.tolist(), len(order)]
-                blobs = [pack_arrays(keys[o], *[m[o] for m in more]) for o in (order[a:z] for a, z in zip(cuts, cuts[1:], strict=False))]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([row["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
+def distinct(columns: list[np.ndarray], *how: np.ufunc) -> list[np.ndarray]:
+    """The distinct values of the first column, sorted, and the others put together by ``how`` for each."""
+    keys = columns[0]
+    if not len(keys):
+        return columns
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return [keys[starts], *[f.reduceat(c[order], starts) for f, c in zip(how, columns[1:], strict=True)]]
 
-    return blocks.mapInArrow(run, "bucket int, block long, keys binary")
 
+def merged(parts: list[list[np.ndarray]], *how: np.ufunc) -> list[np.ndarray]:
+    """``distinct`` over the columns of several parts."""
+    return distinct([np.concatenate(c) for c in zip(*parts, strict=True)], *how)
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
+def ask(blocks: DataFrame, fn: Callable, buckets: int) -> DataFrame:
+    """``fn(row)`` gives a block's distinct sorted keys (uint64) and further arrays: a row for each bucket that it has keys of."""
 
-def restore(answers: list[dict], keys: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """The answers to a block in the order of the keys that it asked for."""
-    order = np.argsort(bucket_of(keys, buckets), kind="stable")
-    parts = [unpack_arrays(a["answer"]) for a in sorted(answers, key=lambda a: a["bucket"])]
-    out = []
-    for columns in zip(*parts, strict=True):
-        flat = np.concatenate(columns)
-        back = np.empty_like(flat)
-        back[order] = flat
-        out.append(back)
-    return out
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for row in rows_of(batches):
+            keys, *more = fn(row)
+            if not len(keys):
+                continue
+            numbers, starts = np.unique(bucket_of(keys, buckets), return_index=True)
+            cuts = [*starts.tolist(), len(keys)]
+            blobs = [pack_arrays(keys[a:z], *[m[a:z] for m in more]) for a, z in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([row["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
 
+    return blocks.mapInArrow(tidy(run), "bucket int, block long, keys binary")
 
-def answer(asked: DataFrame, fn: Callable, sums: int = 0) -> DataFrame:
-    """``fn(parts)`` gets one list of arrays for each asking block and returns one list of arrays for each, and sums.
 
-    The rows with a null block carry the bucket's sums.
+def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0) -> DataFrame:
+    """``fn(parts)`` gets the arrays of each asking block and returns those of each reply, keys first, and sums.
+
+    Each bucket is a partition of its own. The rows with a null block carry the buckets' sums.
     """
     names = [f"s{i}" for i in range(sums)]
 
-    def run(table):
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        blocks = table.column("block").to_pylist()
-        bucket = table.column("bucket")[0].as_py()
-        parts, totals = fn([unpack_arrays(x) for x in table.column("keys").to_pylist()])
-        rows = [{"block": k, "bucket": bucket, "answer": pack_arrays(*p)} | dict.fromkeys(names) for k, p in zip(blocks, parts, strict=True)]
-        if sums:
-            rows.append({"block": None, "bucket": bucket, "answer": None} | dict(zip(names, map(float, totals), strict=True)))
-        kinds = [("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), *[(x, pa.float64()) for x in names]]
-        return pa.Table.from_pylist(rows, pa.schema(kinds))
+        kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), *[(x, pa.float64()) for x in names]])
+
+        def reply(bucket: int, blocks: list[int], blobs: list[bytes]):
+            replies, totals = fn([unpack_arrays(x) for x in blobs])
+            rows = [{"block": k, "bucket": bucket, "answer": pack_arrays(*p)} for k, p in zip(blocks, replies, strict=True) if len(p[0])]
+            if sums:
+                rows.append({"block": None, "bucket": bucket, "answer": None} | dict(zip(names, map(float, totals), strict=True)))
+            return pa.RecordBatch.from_pylist([dict.fromkeys(kinds.names) | r for r in rows], kinds)
+
+        now, blocks, blobs = None, [], []
+        for row in rows_of(batches):
+            if row["bucket"] != now and blocks:
+                yield reply(now, blocks, blobs)
+                blocks, blobs = [], []
+            now = row["bucket"]
+            blocks.append(row["block"])
+            blobs.append(row["keys"])
+        if blocks:
+            yield reply(now, blocks, blobs)
 
     schema = "block long, bucket int, answer binary" + "".join(f", {x} double" for x in names)
-    return asked.groupBy("bucket").applyInArrow(run, schema)
+    return asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(run), schema)
 
 
 def meet(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """``blocks`` with the answers to each, as ``a0``, ``a1`` ... (null where nothing was asked)."""
+    """``blocks`` with the replies to each, as ``a0``, ``a1`` ... (null where there are none)."""
     out = blocks
     for i, a in enumerate(answers):
         mine = a.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(f"a{i}"))
         out = out.join(mine, "block", "left")
     return out
+
+
+class Known:
+    """The replies to a block: sorted keys and what is known of each."""
+
+    def __init__(self, replies: list[dict] | None):
+        parts = [unpack_arrays(r["answer"]) for r in sorted(replies or [], key=lambda r: r["bucket"])]
+        self.columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0, np.uint64)]
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key would stand, and whether it stands there."""
+        mine = self.columns[0]
+        if not len(mine):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
+        return at, mine[at] == keys
+
+    def of(self, keys: np.ndarray, default: np.ndarray, column: int = 1) -> np.ndarray:
+        """What is known of each key, ``default`` where nothing is."""
+        at, found = self.places(keys)
+        out = default.copy()
+        if len(self.columns) > column:
+            out[found] = self.columns[column][at[found]]
+        return out

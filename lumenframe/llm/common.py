@@ -84,3 +84,13 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         release()
 
     return whole
+
+
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def other_columns(docs: DataFrame, text: str = "text") -> tuple[Column, Callable[[Column], Column]]:
+    """All columns but the text as one JSON string, with a mark of null texts (``_null``), and the way back to a struct."""
+    fields = [F.col(f"`{c}`") for c in docs.columns if c != text] + [F.col(text).isNull().alias("_null")]
+    schema = docs.select(*fields).schema
+    return F.to_json(F.struct(*fields), _JSON), lambda packed: F.from_json(packed, schema, _JSON)

@@ -1,14 +1,17 @@
-"""Language-model scoring with a weighted backoff automaton of order 2.
+"""Language-model scoring with a weighted backoff automaton of order 3.
 
-Model, learnt from all training documents: unigrams with add-one smoothing over the training words and one unknown word;
-bigrams of all training words with Dirichlet smoothing, P(w | h) = (c(h, w) + k * P(w)) / (c(h) + k). The probabilities of
-each state sum to 1. As an automaton: every training word, the start of a text and the empty context (root) are states; a
-counted bigram is an arc with its whole probability; any other word takes the failure arc of weight k / (c(h) + k) to the
-root and the root's arc from there. A text is read once from left to right, which carries the state and adds log10
-probabilities. With ``min_count`` above 1, words with fewer training tokens have no state and are one class in the bigrams.
+Model, learnt from all training documents: single words with add-one smoothing over the training words and one unknown word;
+pairs and triples with Dirichlet smoothing, P(w | h) = (c(h, w) + k * P(w | h')) / (c(h) + k), where h' is h without its first
+word. The probabilities of each state sum to 1. As an automaton: the contexts that training texts hold are its states, those of
+two words, of one word (or the start of a text) and the empty one (root). A counted continuation is an arc with its whole
+probability; any other word takes the failure arc of weight k / (c(h) + k) to the state of h', down to the root, which has an
+arc for every word. The state before a word is the longest suffix of the text so far that is a state, at most two words, so the
+walk from left to right is taken for all places of a frame at once: each place follows failure arcs until one of its arcs fits.
 
-Counts come through the exchange of ``blocks``: each block asks for the words and bigrams that it holds and gets their
-counts over the corpus, so the automaton that a task holds is as large as its block, never as large as the corpus.
+Counts come through the exchange of ``blocks``: each block asks for the words, pairs and triples that it holds and gets those of
+their counts over the corpus that are not plain, so the automaton that a task holds is as large as its block, never as large as
+the corpus. Replies leave out what occurs once in the whole corpus (its count is 1 in a training text, else 0), and a pair or
+triple with such a part is not asked for, as it occurs once too. Nothing is cut off by its count.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as the empty text in the fold; repeated rows
 count as often as they stand; without training documents N and V are 0; extra columns are ignored by the query.
@@ -23,143 +26,162 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID, answer, ask, bucket_count, meet, mix, open_block, pack, restore, word_hashes
-from .common import staged
+from .blocks import NO_ID, Known, answer, ask, bucket_count, distinct, meet, merged, mix, open_block, pack, rows_of, word_hashes
+from .common import staged, tidy
 
-#: Hashes of the end of a text, its start, and the class of words that are not frequent.
-END, START, RARE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+#: Hashes of the end of a text and of its start.
+END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 FOLDS, HELD_OUT = 7, 2
 
 
 class Tokens:
-    """A block's tokens: word hashes with an end after each text."""
+    """A frame's tokens: word hashes with an end after each text, and keys of the pairs and triples that end at each place."""
 
     def __init__(self, body: bytes):
         self.ids, texts = open_block(body)
         hashes, first = word_hashes(texts, lower=True)
         counts = np.diff(first)
-        self.first = np.concatenate(([0], np.cumsum(counts + 1)))
-        self.ends = self.first[1:] - 1
-        self.tokens = np.empty(self.first[-1], np.uint64)
-        is_end = np.zeros(len(self.tokens), bool)
-        is_end[self.ends] = True
-        self.tokens[is_end] = END
-        self.tokens[~is_end] = hashes
+        self.first = np.concatenate(([0], np.cumsum(counts + 1)))[:-1]
+        self.sizes = counts + 1
+        self.word = np.full(int(self.sizes.sum()), END)
+        is_word = np.ones(len(self.word), bool)
+        is_word[self.first + counts] = False
+        self.word[is_word] = hashes
         self.held_out = np.array([crc32(b"" if i == NO_ID else str(i).encode()) % FOLDS == HELD_OUT for i in self.ids.tolist()], bool)
-        self.train = np.repeat(~self.held_out, counts + 1)
-        self.words, self.word = np.unique(self.tokens, return_inverse=True)
-
-
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
-    sums = np.add.reduceat(counts[order], np.flatnonzero(new))
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return keys[order][new], sums, back
-
-
-def _count_words(min_count: int):
-    def fn(parts):
-        keys, sums, back = _totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        real = keys != START
-        often = real & (sums >= min_count)
-        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-        facts = [sums[real].sum(), np.count_nonzero(sums[real]), sums[often].sum(), np.count_nonzero(often)]
-        return [[x] for x in np.split(sums[back], cuts)], facts
+        self.train = np.repeat(~self.held_out, self.sizes)
+        self.begins = np.zeros(len(self.word), bool)
+        self.begins[self.first] = True
+        self.pair = self._after(self.word, START)
+        # no triple ends at the first place of a text
+        self.triple = self._after(self.pair, np.uint64(0))
+
+    def _after(self, state: np.ndarray, start: np.uint64) -> np.ndarray:
+        before = np.concatenate(([start], state[:-1]))
+        before[self.begins] = start
+        return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(self.word))
+
+    def shifted(self, values: np.ndarray, at_start) -> np.ndarray:
+        """The value at the place before each, and ``at_start`` where a text begins."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.begins] = at_start
+        return out
+
+    def keys(self, order: int, known: list[Known]) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of an order and which places ask for them, given the replies to the lower orders."""
+        if order == 1:
+            return self.word, np.ones(len(self.word), bool)
+        lower, _ = self.keys(order - 1, known)
+        _, found = known[order - 2].places(lower)
+        if order == 2:
+            return self.pair, found & self.shifted(found, True)
+        return self.triple, found & self.shifted(found, False)
+
+
+def _asks(order: int):
+    def fn(row: dict):
+        known = [Known(row[f"a{k}"]) for k in range(order - 1)]
+        parts = []
+        for body in row["frames"]:
+            t = Tokens(body)
+            keys, asked = t.keys(order, known)
+            keys, train = keys[asked], t.train[asked].astype(np.int64)
+            if order == 1:
+                keys = np.concatenate((keys, np.full(len(t.ids), START)))
+                train = np.concatenate((train, ~t.held_out)).astype(np.int64)
+            parts.append(distinct([keys, train, np.ones(len(keys), np.int64)], np.add, np.add))
+        return merged(parts, np.add, np.add)
 
     return fn
 
 
-def _count_pairs(parts):
-    _, sums, back = _totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    return [[x] for x in np.split(sums[back], np.cumsum([len(p[0]) for p in parts])[:-1])], []
-
-
-def _arc(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(state * np.uint64(0x9E3779B97F4A7C15) ^ mix(symbol))
+def _counts(parts: list[list[np.ndarray]]):
+    """For each block the training counts of those of its keys that occur more than once; a block sends (keys, training count, count)."""
+    keys = np.concatenate([p[0] for p in parts])
+    every, train, total = distinct([keys, *[np.concatenate([p[i] for p in parts]) for i in (1, 2)]], np.add, np.add)
+    at = np.searchsorted(every, keys)
+    often, sums = (total > 1)[at], train[at]
+    ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+    replies = [[p[0][often[z - len(p[0]) : z]], sums[z - len(p[0]) : z][often[z - len(p[0]) : z]]] for p, z in zip(parts, ends, strict=True)]
+    real = every != START
+    return replies, [train[real].sum(), np.count_nonzero(train[real])]
 
 
 class Automaton:
-    """The part of the model that a block can reach."""
-
-    def __init__(self, facts: dict, k: float, min_count: int):
-        self.n, self.v, self.often_n, self.often_v = (int(facts[x]) for x in ("n", "v", "often_n", "often_v"))
-        self.k, self.min_count, self.size = k, min_count, int(facts["n"]) + int(facts["v"]) + 1
-        self.rare_mass = (self.size - self.often_n - self.often_v) / self.size
-
-    def symbols(self, t: Tokens, counts: np.ndarray):
-        """State before each token (index into words, -1 root, -2 start) and the symbol that it reads."""
-        often = counts[t.word] >= self.min_count
-        state = np.full(len(t.tokens), -1, np.int64)
-        state[1:][often[:-1]] = t.word[:-1][often[:-1]]
-        state[t.first[:-1]] = -2
-        return state, np.where(often, t.tokens, RARE), often
-
-    def walk(self, t: Tokens, counts: np.ndarray, starts: int, state: np.ndarray, often: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the tokens. ``pairs``: the arcs' counts, 0 where only the failure arc is left."""
-        root = (counts[t.word] + 1) / self.size
-        from_state = np.where(state == -2, starts, counts[np.maximum(state, 0)])
-        share = np.where(often, pairs, pairs * (root / self.rare_mass))
-        return np.log10(np.where(state == -1, root, (share + self.k * root) / (from_state + self.k)))
-
-
-def _words_of(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(t.word[t.train], minlength=len(t.words)).astype(np.int64)
-    return np.concatenate((t.words, [START])), np.concatenate((counts, [np.count_nonzero(~t.held_out)])).astype(np.int64)
-
-
-def score(docs: DataFrame, min_count: int = 1, k: float = 50.0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The part of the model that a frame can reach; ``smooth`` are the Dirichlet weights of states of one and of two words."""
+
+    def __init__(self, n: int, v: int, smooth: tuple[float, float]):
+        self.n, self.v, self.size, self.smooth = n, v, n + v + 1, smooth
+
+    def counts(self, t: Tokens, known: list[Known]) -> tuple[list[np.ndarray], int]:
+        """Training counts of the word, pair and triple that end at each place, and how many training texts there are."""
+        out = []
+        for order in (1, 2, 3):
+            keys, asked = t.keys(order, known)
+            c = t.train.astype(np.int64)  # what is not known of occurs here alone
+            c[asked] = known[order - 1].of(keys[asked], c[asked])
+            out.append(c)
+        out[2][t.begins] = 0
+        start = known[0].of(np.array([START]), np.array([np.count_nonzero(~t.held_out)], np.int64))
+        return out, int(start[0])
+
+    def walk(self, t: Tokens, counts: list[np.ndarray], starts: int) -> np.ndarray:
+        """log10 of the probability of each token: the failure arcs that its place follows, and the arc that fits."""
+        one, two, three = counts
+        root = (one + 1) / self.size
+        contexts = [t.shifted(one, starts), t.shifted(two, 0)]  # how often the state of one and of two words was left
+        arcs = [root]
+        for c, context, k in zip((two, three), contexts, self.smooth, strict=True):
+            # the whole probability of a counted continuation
+            arcs.append((c + k * self._through(arcs, contexts)) / (context + k))
+        out = np.zeros(len(root))
+        waiting = np.ones(len(root), bool)
+        for c, context, k, arc in zip((three, two), contexts[::-1], self.smooth[::-1], arcs[:0:-1], strict=True):
+            fits = waiting & (c > 0)
+            out[fits] += np.log10(arc[fits])
+            waiting &= ~fits
+            fails = waiting & (context > 0)
+            out[fails] += np.log10(k / (context[fails] + k))
+        out[waiting] += np.log10(root[waiting])
+        return out
+
+    def _through(self, arcs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        """The probability from the state below: its own smoothed value, or that of the root where it is no state."""
+        if len(arcs) == 1:
+            return arcs[0]
+        return np.where(contexts[0] > 0, arcs[1], arcs[0])
+
+
+def score(docs: DataFrame, smooth: tuple[float, float] = (50.0, 5.0), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     blocks = pack(docs, "lm-blocks", text, doc_id)
     buckets = bucket_count(blocks)
-
-    def ask_words(row: dict):
-        keys, counts = _words_of(Tokens(row["body"]))
-        return keys, counts
-
-    words = staged(answer(ask(blocks, ask_words, buckets), _count_words(min_count), 4), "lm-words", "uncompressed")
-    sums = words.where("block is null").agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(x) for i, x in enumerate(("n", "v", "often_n", "often_v"))]).first()
-    facts = sums.asDict()
-
-    def opened(row: dict):
-        t = Tokens(row["body"])
-        keys, _ = _words_of(t)
-        (counts,) = restore(row["a0"], keys, buckets)
-        machine = Automaton(facts, k, min_count)
-        state, symbol, often = machine.symbols(t, counts[:-1])
-        at = np.flatnonzero(state != -1)
-        arcs, arc = np.unique(_arc(np.where(state[at] == -2, START, t.words[np.maximum(state[at], 0)]), symbol[at]), return_inverse=True)
-        return t, counts[:-1], int(counts[-1]), machine, state, often, at, arcs, arc
-
-    def ask_pairs(row: dict):
-        t, _, _, _, _, _, at, arcs, arc = opened(row)
-        return arcs, np.bincount(arc[t.train[at]], minlength=len(arcs)).astype(np.int64)
-
-    pairs = answer(ask(meet(blocks, words), ask_pairs, buckets), _count_pairs)
+    replies = [staged(answer(ask(blocks, _asks(1), buckets), _counts, buckets, 2), "lm-words", "uncompressed")]
+    n, v = replies[0].where("block is null").agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
+    machine = Automaton(int(n), int(v), smooth)
+    for order, name in ((2, "lm-pairs"), (3, "lm-triples")):
+        found = answer(ask(meet(blocks, *replies), _asks(order), buckets), _counts, buckets)
+        replies.append(staged(found, name, "uncompressed") if order == 2 else found)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for row in b.to_pylist():
-                t, counts, starts, machine, state, often, at, arcs, arc = opened(row)
-                seen = np.zeros(len(t.tokens), np.int64)
-                if len(arcs):
-                    (found,) = restore(row["a1"], arcs, buckets)
-                    seen[at] = found[arc]
-                c = counts[t.word]
-                base = np.add.reduceat(np.log10((c + 1) / machine.size), t.first[:-1])
-                full = np.add.reduceat(machine.walk(t, counts, starts, state, often, seen), t.first[:-1])
-                known = np.add.reduceat((c > 0).astype(np.int64), t.first[:-1])
+        for row in rows_of(batches):
+            known = [Known(row[f"a{k}"]) for k in range(3)]
+            for body in row["frames"]:
+                t = Tokens(body)
+                counts, starts = machine.counts(t, known)
+                base = np.add.reduceat(np.log10((counts[0] + 1) / machine.size), t.first)
+                full = np.add.reduceat(machine.walk(t, counts, starts), t.first)
+                seen = np.add.reduceat((counts[0] > 0).astype(np.int64), t.first)
                 ids = [None if i == NO_ID else i for i in t.ids.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(t.held_out), pa.array(np.diff(t.first)), pa.array(known), pa.array([machine.n] * len(ids), pa.int64()), pa.array(base), pa.array(full)],
+                    [pa.array(ids, pa.int64()), pa.array(t.held_out), pa.array(t.sizes, pa.int64()), pa.array(seen), pa.array([machine.n] * len(ids), pa.int64()), pa.array(base), pa.array(full)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return meet(blocks, words, pairs).mapInArrow(run, schema)
+    return meet(blocks, *replies).mapInArrow(tidy(run), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

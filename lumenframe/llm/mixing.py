@@ -27,7 +27,7 @@ from math import lcm
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidy
 
 BLOCK_BYTES = 1 << 17
 #: Slots of a schedule that is broadcast; a longer one is joined as Spark chooses.
@@ -136,7 +136,7 @@ def _squeezed(docs: DataFrame, pack: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
     kinds = ", ".join(f"`{f.name}` {('binary' if pack else 'string') if f.name == '_text' else f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), kinds)
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ A window of ``size`` words (13) that also starts in a document with a smaller do
 (7 words; two of them overlap by one word in 13) come first: a long window can only repeat if its half does. Every long
 window names one of its half windows, the one with the smallest hash (leftmost on ties), so about a quarter of all half
 windows has to be compared. Half windows that one document alone holds end there; the long windows that name a surviving
-half are then compared themselves, by 96-bit hashes, and the smallest document of each is found. For longer windows the
+half are then compared themselves, by hashes of 96 bits made from 64-bit word hashes, and the smallest document of each is found. For longer windows the
 doubling has more levels, until no candidates survive.
 
 Both comparisons use the exchange of ``blocks``: a passage in a third of all documents is one entry for each block.
@@ -24,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BASE_WORD, BASE_WORD_2, NO_ID, answer, ask, bucket_count, meet, mix, open_parts, pack, restore, run_hashes, word_hashes
-from .common import staged
+from .blocks import BASE_WORD, BASE_WORD_2, NO_ID, Known, answer, ask, bucket_count, distinct, merged, open_parts, pack, rows_of, run_hashes, word_hashes
+from .common import other_columns, staged, tidy
 
 SIZE = 13
 
@@ -39,7 +39,7 @@ def levels(size: int, least: int = 6) -> list[int]:
 
 
 class Windows:
-    """A block's words and its windows."""
+    """A frame's words and its windows."""
 
     def __init__(self, body: bytes, size: int):
         self.size, (self.ids, self.texts, self.extras) = size, open_parts(body)
@@ -65,122 +65,135 @@ class Windows:
             np.minimum(best, all_grams[self.start + s] | np.uint64(s), out=best)
         return self.start + (best & np.uint64(63)).astype(np.int64)
 
-
-def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, which one each row has, the smallest id of each, and whether it has more than one id."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64), ids, np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    k, i = keys[order], ids[order]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    starts = np.flatnonzero(new)
-    group = np.empty(len(keys), np.int64)
-    group[order] = np.cumsum(new) - 1
-    low, high = np.minimum.reduceat(i, starts), np.maximum.reduceat(i, starts)
-    return k[starts], group, low, low != high
+    def candidates(self, steps: list[int], known: list[Known]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that survive the levels of ``known``, and where the run starts that the next level compares for each."""
+        alive = np.arange(len(self.start))
+        anchors = self.anchors(steps[0]) if len(steps) > 1 else self.start
+        for k, length in enumerate(steps):
+            at = anchors[alive]
+            if length == self.size:
+                at = self.start[alive]
+            elif k:  # the run of this length around the anchor that lies in the window
+                at = np.clip(at - (length - steps[0]) // 2, self.start[alive], self.start[alive] + self.size - length)
+            if k == len(known):
+                return alive, at
+            # neighbours often share a run: each is looked up once
+            new = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
+            _, found = known[k].places(self.grams(at[new], length))
+            alive = alive[found[np.cumsum(new) - 1]]
+        raise ValueError("more replies than levels")
+
+    def full(self, at: np.ndarray) -> np.ndarray:
+        """Whole windows as 96 bits: 64 by which they are dealt, and 32 more."""
+        out = np.empty(len(at), WHOLE)
+        out["key"] = self.grams(at, self.size)
+        out["more"] = self.grams(at, self.size, BASE_WORD_2) >> np.uint64(32)
+        return out
+
+
+WHOLE = np.dtype([("key", np.uint64), ("more", np.uint32)])
+
+
+def _runs(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of 96-bit hashes, and where in it each distinct one starts."""
+    order = np.lexsort((whole["more"], whole["key"]))
+    w = whole[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w["key"][1:] != w["key"][:-1]) | (w["more"][1:] != w["more"][:-1])
+    return order, np.flatnonzero(new)
+
+
+def _least(whole: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 96-bit hashes with the smallest and largest id of each."""
+    if not len(whole):
+        return whole, low, high
+    order, starts = _runs(whole)
+    return whole[order[starts]], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
+def _split(parts: list[list[np.ndarray]], columns: list[np.ndarray], keep: np.ndarray) -> list[list[np.ndarray]]:
+    """For each part those of its entries that are kept."""
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return [[c[z - len(p[0]) : z][keep[z - len(p[0]) : z]] for c in columns] for p, z in zip(parts, ends.tolist(), strict=True)]
 
 
 def _shared(parts: list[list[np.ndarray]]):
-    """For each asked key whether several ids hold it; a block sends (keys, smallest id)."""
-    keys = np.concatenate([p[0] for p in parts])
-    ids = np.concatenate([p[1] for p in parts])
-    _, group, _, many = _distinct(keys, ids)
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return [[x.astype(np.uint8)] for x in np.split(many[group], cuts)], []
+    """For each block those of its keys that several ids hold; a block sends (keys, smallest id, largest id)."""
+    keys, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
+    every, least, most = distinct([keys, low, high], np.minimum, np.maximum)
+    keep = (least != most)[np.searchsorted(every, keys)]
+    return _split(parts, [keys], keep), []
 
 
 def _smallest(parts: list[list[np.ndarray]]):
-    """For each asked key the smallest id; a block sends (keys, 32 more bits of the key, smallest id)."""
-    keys = np.concatenate([p[0] for p in parts])
-    more = np.concatenate([p[1] for p in parts])
-    ids = np.concatenate([p[2] for p in parts])
-    order = np.lexsort((more, keys))
-    k, m, i = keys[order], more[order], ids[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])))
-    low = np.minimum.reduceat(i, np.flatnonzero(new))
-    out = np.empty(len(keys), np.int64)
-    out[order] = low[np.cumsum(new) - 1]
-    return [[x] for x in np.split(out, np.cumsum([len(p[0]) for p in parts])[:-1])], []
+    """For each block the smallest id of those of its windows that several ids hold; a block sends (keys, 32 more bits, smallest id, largest id)."""
+    whole = np.empty(sum(len(p[0]) for p in parts), WHOLE)
+    whole["key"], whole["more"] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    low, high = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+    order, starts = _runs(whole)
+    sizes = np.diff(np.concatenate((starts, [len(whole)])))
+    least, most = np.empty(len(whole), np.int64), np.empty(len(whole), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(low[order], starts), sizes)
+    most[order] = np.repeat(np.maximum.reduceat(high[order], starts), sizes)
+    return _split(parts, [whole["key"], whole["more"], least], least != most), []
 
 
 def repeated(blocks: DataFrame, buckets: int, size: int = SIZE) -> tuple[DataFrame, callable]:
-    """Blocks with their answers, and ``find(row)`` -> (Windows, which windows start in a smaller document too)."""
+    """Blocks with the replies to them, and ``find(row)``: each frame's (Windows, which windows start in a smaller document too)."""
     steps = levels(size)
-
-    def level(row: dict, n: int):
-        """Which windows survive the first ``n`` levels; also (distinct keys, group of each row, local facts) of the last of them."""
-        w = Windows(row["body"], size)
-        alive = np.ones(len(w.start), bool)
-        anchors = w.anchors(steps[0]) if len(steps) > 1 else w.start
-        state = None
-        for k in range(n + 1):
-            length = steps[k]
-            if length == size:
-                at = w.start[alive]
-            elif k == 0:
-                at = anchors
-            else:  # the run of this length around the anchor that lies in the window
-                at = np.clip(anchors[alive] - (length - steps[0]) // 2, w.start[alive], w.start[alive] + size - length)
-            ids = w.id[alive] if length == size or k else w.id
-            state = (at, ids)
-            if k == n:
-                break
-            keys, group, _, many = _distinct(w.grams(at, length), ids)
-            if len(keys):
-                (far,) = restore(row[f"a{k}"], keys, buckets)
-                keep = (many | far.astype(bool))[group]
-            else:
-                keep = np.zeros(0, bool)
-            if k == 0:
-                alive = keep
-            else:
-                alive[np.flatnonzero(alive)[~keep]] = False
-        return w, alive, state
+    last = len(steps) - 1
 
     def asks(n: int):
         def fn(row: dict):
-            w, _, (at, ids) = level(row, n)
-            grams = w.grams(at, steps[n])
-            if n < len(steps) - 1:
-                keys, _, low, _ = _distinct(grams, ids)
-                return keys, low
-            keys, more, low, _ = full(w, at, ids)
-            return keys, more, low
+            known = [Known(row[f"a{k}"]) for k in range(n)]
+            parts = []
+            for body in row["frames"]:
+                w = Windows(body, size)
+                alive, at = w.candidates(steps, known)
+                ids = w.id[alive]
+                if n == last:
+                    parts.append(_least(w.full(at), ids, ids))
+                else:
+                    new = np.concatenate(([True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1]))) if len(at) else np.zeros(0, bool)
+                    parts.append(distinct([w.grams(at[new], steps[n]), ids[new], ids[new]], np.minimum, np.maximum))
+            if n < last:
+                return merged(parts, np.minimum, np.maximum)
+            whole, low, high = _least(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+            return whole["key"], whole["more"], low, high
 
         return fn
 
-    def full(w: Windows, at: np.ndarray, ids: np.ndarray):
-        """Distinct windows by 96 bits: (key, more bits, smallest id, group of each row)."""
-        a = w.grams(at, size)
-        b = (w.grams(at, size, BASE_WORD_2) >> np.uint64(32)).astype(np.uint32)
-        # one 64-bit number inside a block is enough to tell its own windows apart; both parts are sent
-        joint = mix(a ^ (b.astype(np.uint64) << np.uint64(17)))
-        keys, group, low, _ = _distinct(joint, ids)
-        pick = np.empty(len(keys), np.int64)
-        pick[group] = np.arange(len(group))
-        return a[pick], b[pick], low, group
-
-    met = blocks
+    met = facts = blocks
     for n in range(len(steps)):
-        replies = answer(ask(met, asks(n), buckets), _smallest if n == len(steps) - 1 else _shared)
-        # earlier answers are kept beside the blocks, so that each level is asked once
-        so_far = met if n == 0 else met.select("block", *[f"a{i}" for i in range(n)])
+        replies = answer(ask(met, asks(n), buckets), _smallest if n == last else _shared, buckets).where("block is not null")
         mine = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias(f"a{n}"))
-        facts = mine if n == 0 else so_far.join(mine, "block", "left")
-        if n < len(steps) - 1:
+        # earlier replies are kept beside the blocks, so that each level is asked once
+        facts = mine if n == 0 else facts.join(mine, "block", "left")
+        if n < last:
             facts = staged(facts, f"substring-level-{steps[n]}", "uncompressed")
         met = blocks.join(facts, "block", "left")
 
-    last = len(steps) - 1
-
     def find(row: dict):
-        w, alive, (at, ids) = level(row, last)
-        hit = np.zeros(len(w.start), bool)
-        if len(at):
-            keys, _, low, group = full(w, at, ids)
-            (far,) = restore(row[f"a{last}"], keys, buckets)
-            hit[np.flatnonzero(alive)] = far[group] < ids
-        return w, hit
+        known = [Known(row[f"a{k}"]) for k in range(last)]
+        whole = Known(row[f"a{last}"])
+        mine, least = np.zeros(len(whole.columns[0]), WHOLE), None
+        mine["key"] = whole.columns[0]
+        if len(mine):
+            mine["more"], least = whole.columns[1], whole.columns[2]
+        for body in row["frames"]:
+            w = Windows(body, size)
+            alive, at = w.candidates(steps, known)
+            hit = np.zeros(len(w.start), bool)
+            if len(at) and len(mine):
+                ours = w.full(at)
+                # equal keys with other bits stand side by side
+                place = np.searchsorted(mine["key"], ours["key"])
+                last_place = np.searchsorted(mine["key"], ours["key"], side="right")
+                while (place < last_place).any():
+                    p = np.minimum(place, len(mine) - 1)
+                    hit[alive] |= (place < last_place) & (mine["more"][p] == ours["more"]) & (least[p] < w.id[alive])
+                    place = place + 1
+            yield w, hit
 
     return met, find
 
@@ -204,47 +217,53 @@ def cut_words(text: bytes, gone: list[bool]) -> bytes:
 
 
 def dedup(docs: DataFrame, size: int = SIZE, text: str = "text", doc_id: str = "doc_id", extra: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each document; with ``extra`` also that column and ``cut_text``, the text without the removed words (null where none is removed)."""
+    """(doc_id, n_words, n_removed, kept_sha256) for each document; with ``extra`` that column and ``cut_text``, the text without the removed words, in place of the hash."""
     blocks = pack(docs, "substring-blocks", text, doc_id, extra=extra)
     met, find = repeated(blocks, bucket_count(blocks), size)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            for row in b.to_pylist():
-                w, hit = find(row)
+        for row in rows_of(batches):
+            for w, hit in find(row):
                 gone = removed_words(w, hit)
                 ids, n, lost, sha, cut = [], [], [], [], []
                 first = w.first.tolist()
                 for d, t in enumerate(w.texts):
-                    words = t.split()
                     out = gone[first[d] : first[d + 1]]
                     k = int(np.count_nonzero(out))
-                    if k:
-                        words = [x for x, g in zip(words, out.tolist(), strict=True) if not g]
                     ids.append(None if w.ids[d] == NO_ID else int(w.ids[d]))
                     n.append(first[d + 1] - first[d])
                     lost.append(k)
+                    if extra:
+                        cut.append(cut_words(t, out.tolist()) if k else t)
+                        continue
+                    words = t.split()
+                    if k:
+                        words = [x for x, g in zip(words, out.tolist(), strict=True) if not g]
                     sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    cut.append(cut_words(t, out.tolist()) if k and extra else None)
-                arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64())]
                 if extra:
                     arrays = [*arrays, pa.array(w.extras, pa.binary()).cast(pa.string()), pa.array(cut, pa.binary()).cast(pa.string())]
-                    names = [*names, extra, "cut_text"]
+                else:
+                    arrays.append(pa.array(sha, pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (f", {extra} string, cut_text string" if extra else ""))
+    names = ["doc_id", "n_words", "n_removed", *([extra, "cut_text"] if extra else ["kept_sha256"])]
+    return met.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long" + (f", {extra} string, cut_text string" if extra else ", kept_sha256 string"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: every document, without the words that repeat a passage of a document with a smaller id."""
-    whole = docs.select("doc_id", "text", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_row"))
-    found = dedup(whole, extra="_row").select("cut_text", F.from_json("_row", docs.schema).alias("r"))
-    text = F.coalesce("cut_text", "r.text")
-    new = {"text": text, "n_chars": F.when(F.col("cut_text").isNull(), F.col("r.n_chars")).otherwise(F.length(text).cast("long"))}
-    return found.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
+    """The pipeline's stage: every document, without the words that repeat a passage of a document with a smaller id.
+
+    Texts are carried once, in the blocks; the other columns go beside them. ``n_chars``, if there is one, follows the text.
+    """
+    rest, back = other_columns(docs)
+    found = dedup(docs.select("doc_id", "text", rest.alias("_rest")), extra="_rest").select("n_removed", "cut_text", back("_rest").alias("r"))
+    new = {"text": F.when(~F.col("r._null"), F.col("cut_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r.n_chars"))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
