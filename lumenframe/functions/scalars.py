@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: image extensions, longest first.
 EXTENSIONS = r"(?i)\.(nii\.gz|nii|nrrd|mha|mhd|dcm)$"
 #: Fixed value: messages of submissions worth trying again.
-TRANSIENT = "(?i)quota exceeded|database is locked|temporarily unavailable|timed? ?out"
+TRANSIENT = "(?i)quota exceeded|database is locked|database is busy|SQLITE_BUSY|locked database"
+#: Fixed value: names that speak of a mask.
+MASK_NAME = "(?i)mask|seg|label|gtv"
 
 
 def base_name(path: Column) -> Column:
@@ -64,6 +66,53 @@ def resample_size(size: Column, spacing: Column, target: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(size * spacing / target).cast("int"))
 
 
+def file_time(seconds: Column) -> Column:
+    """DT-03: a file's time, given in seconds, without fractions."""
+    return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def is_transient(message: Column) -> Column:
+    """STR-12."""
+    return F.coalesce(message.rlike(TRANSIENT), F.lit(False))
+
+
+def speaks_of_mask(path: Column, value: Column | None = None) -> Column:
+    """STR-11: the base name says that it is a mask, and holds ``value`` as it stands, if given."""
+    name = base_name(path)
+    return name.rlike(MASK_NAME) if value is None else name.rlike(MASK_NAME) & F.contains(name, value)
+
+
+def env_name(value: Column) -> Column:
+    """STR-10."""
+    return F.upper(F.regexp_replace(value, "[^A-Za-z0-9]+", "_"))
+
+
+def is_profile_name(value: Column) -> Column:
+    """STR-13."""
+    return value.rlike("^[a-zA-Z0-9_]+$")
+
+
+def items_of(value: Column, pattern: str = ",") -> Column:
+    """STR-08: the trimmed items of a joined list, without empty ones."""
+    return F.filter(F.transform(F.split(value, pattern), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def dose(pixel: Column, scaling: Column) -> Column:
+    """MTH-07: a stored dose value in its unit; without a scaling it is 1."""
+    return pixel * F.coalesce(scaling, F.lit(1.0))
+
+
+def flag_of(value: Column, default: bool = False) -> Column:
+    """CND-03: 1, true, yes and y are true, null and empty the default, all else false."""
+    clean = F.lower(F.trim(value))
+    return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(default)).otherwise(clean.isin("1", "true", "yes", "y"))
+
+
+def number_of(value: Column, default: float = 0.0) -> Column:
+    """CND-03: what is no number is the default."""
+    return F.coalesce(value.try_cast("double"), F.lit(default))
+
+
 def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -72,8 +121,13 @@ def age_hours(ts: Column, now: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(ts)) / 3600.0
 
 
+def l2_norm(v: Column) -> Column:
+    """MTH-06."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
 def l2_normalised(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    norm = l2_norm(v)
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
 
 

@@ -8,10 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def join_metadata(features: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """JN-01: left join on a null-safe key; metadata columns that features have are dropped, duplicate metadata keys do not fan out."""
-    extra = [c for c in metadata.columns if c == key or c not in features.columns]
-    right = metadata.select(*extra).dropDuplicates([key]).withColumnRenamed(key, "_key")
+def join_metadata(features: DataFrame, metadata: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """JN-01: left join on a null-safe key; metadata columns that features have are dropped, of equal metadata keys the first counts.
+
+    First is the row with the smallest ``order`` columns, all of the row's columns unless given, so the result does not hang on chance.
+    """
+    for side, name in ((features, "features"), (metadata, "metadata")):
+        if key not in side.columns:
+            raise ValueError(f"{name} lack {key}")
+    extra = [c for c in metadata.columns if c != key and c not in features.columns]
+    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or metadata.columns)], *extra)
+    right = metadata.groupBy(F.col(key).alias("_key")).agg(F.min(row).alias("_first")).select("_key", *[F.col(f"_first.{c}").alias(c) for c in extra])
     return features.join(right, features[key].eqNullSafe(right["_key"]), "left").drop("_key")
 
 
@@ -38,13 +45,53 @@ def extend_index(existing: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def resolve_id_or_alias(wanted: DataFrame, assets: DataFrame, aliases: DataFrame) -> DataFrame:
-    """JN-04: ``wanted`` (name) with asset_id: an id of that name first, else what the alias points to."""
-    by_id = assets.select(F.col("asset_id").alias("_id"))
-    by_alias = aliases.select(F.col("alias").alias("_alias"), F.col("asset_id").alias("_target"))
+    """JN-04: ``wanted`` (name) with asset_id: an id of that name first, else what the alias points to; repeated ids and aliases do not fan out."""
+    by_id = assets.select(F.col("asset_id").alias("_id")).distinct()
+    by_alias = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("asset_id").alias("_target"))
     out = wanted.join(by_id, wanted["name"] == F.col("_id"), "left").join(by_alias, wanted["name"] == F.col("_alias"), "left")
     return out.select("name", F.coalesce("_id", "_target").alias("asset_id"))
 
 
+def active_aliases(aliases: DataFrame, assets: DataFrame) -> DataFrame:
+    """JN-03: (alias, asset_id, path_or_root) of aliases whose asset is active."""
+    active = assets.where("status = 'active'").select("asset_id", "path_or_root")
+    return aliases.select("alias", "asset_id").join(active, "asset_id").select("alias", "asset_id", "path_or_root")
+
+
+def lineage(parents: DataFrame, assets: DataFrame) -> DataFrame:
+    """JN-02: each asset's parents (asset_id, parent_asset_id, relationship, kind, dataset_id), one step up."""
+    up = assets.select(F.col("asset_id").alias("parent_asset_id"), "kind", "dataset_id")
+    return parents.join(up, "parent_asset_id").select("asset_id", "parent_asset_id", "relationship", "kind", "dataset_id")
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """JN-02: (asset_id, ancestor, steps): all that an asset derives from, with the fewest steps; a circle ends where it closes.
+
+    Paths double in length each round, so rounds grow with the logarithm of the longest line, and each is one join by key.
+    """
+    now = parents.select("asset_id", F.col("parent_asset_id").alias("ancestor"), F.lit(1).cast("long").alias("steps")).distinct()
+    while True:
+        on = now.select(F.col("asset_id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("steps").alias("_more"))
+        longer = now.join(on, "ancestor").select("asset_id", F.col("_far").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
+        new = now.unionByName(longer).groupBy("asset_id", "ancestor").agg(F.min("steps").alias("steps")).persist()
+        changed = not new.exceptAll(now).isEmpty()
+        if not changed:
+            return new
+        now = new
+
+
+def in_latest(rows: DataFrame, wanted: DataFrame, key: str, *order: Column) -> DataFrame:
+    """JN-05: the latest row whose key is in ``wanted``."""
+    return rows.join(wanted.select(key), key, "left_semi").orderBy(*order).limit(1)
+
+
+def upsert_changed(stored: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
+    """UPS-03: rows replaced by key, but for those that are equal in ``compared`` (null-safe), whose stored row stays as it is."""
+    old = stored.select(*keys, F.struct(*compared).alias("_old"))
+    same = F.col("_old").isNotNull() & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_old.{c}")) for c in compared])
+    return upsert(stored, new.join(old, keys, "left").where(~same).select(*new.columns), keys)
+
+
 def first_ranked(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """WIN-04: the first row of each key by an explicit order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

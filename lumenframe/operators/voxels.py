@@ -18,10 +18,15 @@ AXES = ("z", "y", "x")
 KEY = ("sample_id", *AXES)
 
 
-def ball(radius: int) -> list[tuple[int, int, int]]:
-    """Offsets within ``radius`` of a voxel, itself included."""
-    steps = range(-radius, radius + 1)
-    return [o for o in product(steps, steps, steps) if sum(d * d for d in o) <= radius * radius]
+#: One radius for all axes, or one each in (z, y, x) order.
+Radius = int | tuple[int, int, int]
+
+
+def ball(radius: Radius) -> list[tuple[int, int, int]]:
+    """Offsets in the ellipsoid of half axes ``radius + 0.5``, the voxel itself included: 19 of them for a radius of 1."""
+    radii = (radius,) * 3 if isinstance(radius, int) else radius
+    inside = lambda o: sum((d / (r + 0.5)) ** 2 for d, r in zip(o, radii, strict=True)) <= 1 + 1e-12
+    return [o for o in product(*[range(-r, r + 1) for r in radii]) if inside(o)]
 
 
 def _neighbours(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
@@ -29,27 +34,27 @@ def _neighbours(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFra
     return mask.select("sample_id", near).select("sample_id", *[f"near.{a}" for a in AXES])
 
 
-def dilate(mask: DataFrame, radius: int = 1) -> DataFrame:
+def dilate(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     """VOX-04: voxels whose ball meets the mask."""
     return _neighbours(mask.select(*KEY), ball(radius)).distinct()
 
 
-def erode(mask: DataFrame, radius: int = 1) -> DataFrame:
+def erode(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     """VOX-04: voxels whose whole ball lies in the mask."""
     offsets = ball(radius)
     near = _neighbours(mask.select(*KEY).distinct(), offsets)
     return near.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") == len(offsets)).select(*KEY)
 
 
-def closing(mask: DataFrame, radius: int = 1) -> DataFrame:
+def closing(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     return erode(dilate(mask, radius), radius)
 
 
-def opening(mask: DataFrame, radius: int = 1) -> DataFrame:
+def opening(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     return dilate(erode(mask, radius), radius)
 
 
-def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: int | None = None) -> DataFrame:
+def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: int | None = 1) -> DataFrame:
     """VOX-03: face-connected components, numbered from 1 by size; ties go by the first voxel in (z, y, x) order."""
 
     def label(part):
@@ -162,8 +167,11 @@ def preprocess(volume: DataFrame, steps: list[dict]) -> DataFrame:
 
 
 def lung_threshold(volume: DataFrame, sizes: DataFrame, threshold: float = -320.0, min_voxels: int = 1000, keep: int = 2) -> DataFrame:
-    """VOX-12: air below the threshold, without components that touch the border (unless all do), the largest ones, closed."""
-    found = connected_components(volume.where(F.col("value") < threshold), min_voxels).join(sizes, "sample_id")
+    """VOX-12: air below the threshold, without components that touch the border (unless all do), the largest ones, closed by two voxels in y and x and one in z.
+
+    A sample in which nothing is found is an error (of the job that reads it).
+    """
+    found = connected_components(volume.where(F.col("value") < threshold), min_voxels, None).join(sizes, "sample_id")
     edge = F.lit(False)
     for a in AXES:
         edge = edge | (F.col(a) == 0) | (F.col(a) == F.col(f"n_{a}") - 1)
@@ -172,4 +180,94 @@ def lung_threshold(volume: DataFrame, sizes: DataFrame, threshold: float = -320.
     found = found.where(~F.col("touches") | F.col("all_touch"))
     ranked = found.withColumn("rank", F.dense_rank().over(sample.orderBy("component"))).where(F.col("rank") <= keep)
     inside = [F.col(a).between(0, F.col(f"n_{a}") - 1) for a in AXES]
-    return closing(ranked, 1).join(sizes, "sample_id").where(inside[0] & inside[1] & inside[2]).select(*KEY)
+    out = closing(ranked, (1, 2, 2)).join(sizes, "sample_id").where(inside[0] & inside[1] & inside[2]).select(*KEY)
+    nothing = sizes.join(ranked.select("sample_id").distinct(), "sample_id", "left_anti")
+    failed = nothing.select(F.raise_error(F.concat(F.lit("no lung found in "), F.col("sample_id").cast("string"))).cast(out.schema["sample_id"].dataType).alias("sample_id"), *[F.lit(0).cast(out.schema[a].dataType).alias(a) for a in AXES])
+    return out.unionByName(failed)
+
+
+def resample_nearest(volume: DataFrame, geometry: DataFrame, target: DataFrame) -> DataFrame:
+    """VOX-06: values on another grid in physical space, each taken from the nearest voxel; beyond the volume 0.
+
+    ``geometry`` and ``target``: sample_id, n_z.., s_z.., o_z.. (size, spacing and origin of both grids).
+    """
+    grid = target.select("sample_id", *[F.col(f"{p}_{a}").alias(f"t{p}_{a}") for p in "nso" for a in AXES]).join(geometry, "sample_id")
+    for a in AXES:
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"tn_{a}") - 1)))
+        at = (F.col(f"to_{a}") + F.col(a) * F.col(f"ts_{a}") - F.col(f"o_{a}")) / F.col(f"s_{a}")
+        grid = grid.withColumn(f"c_{a}", F.floor(at + 0.5).cast("int"))
+    given = volume.select("sample_id", *[F.col(a).cast("int").alias(f"c_{a}") for a in AXES], F.col("value"))
+    met = grid.join(given, ["sample_id", *[f"c_{a}" for a in AXES]], "left")
+    return met.select(*KEY, F.coalesce("value", F.lit(0).cast(volume.schema["value"].dataType)).alias("value"))
+
+
+def series(files: DataFrame) -> DataFrame:
+    """VOX-14: the slices of each folder's first series in the order of their places: ``files`` (folder, series, position, path) with ``z``.
+
+    A folder's other series are left out, as only one volume is made of it.
+    """
+    first = files.groupBy("folder").agg(F.min("series").alias("series"))
+    order = Window.partitionBy("folder").orderBy("position", "path")
+    return files.join(first, ["folder", "series"]).withColumn("z", (F.row_number().over(order) - 1).cast("int"))
+
+
+def contours_to_mask(contours: DataFrame, grid: DataFrame, rois: list[str] | None = None) -> DataFrame:
+    """VOX-15: (source, roi, z, y, x) of voxels whose centre lies inside an odd number of the slice's contours.
+
+    ``contours``: source, roi, contour, z, points (array of x, y in voxels, in order); ``grid``: source, n_y, n_x. Each edge meets the rows
+    of voxels that it crosses; crossings to the left of a voxel are counted, so nothing is a product of voxels and edges.
+    """
+    if rois:
+        contours = contours.where(F.col("roi").isin(rois))
+    n = F.size("points")
+    edges = contours.where(n > 2).select("source", "roi", "z", F.posexplode("points").alias("i", "a"), "points")
+    edges = edges.withColumn("b", F.get("points", F.pmod(F.col("i") + 1, n)))
+    low, high = F.least("a.y", "b.y"), F.greatest("a.y", "b.y")
+    # rows with a centre in [low, high)
+    first, last = F.ceil(low).cast("int"), (F.ceil(high) - 1).cast("int")
+    rows = edges.where(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
+    cross = F.col("a.x") + (F.col("y") - F.col("a.y")) / (F.col("b.y") - F.col("a.y")) * (F.col("b.x") - F.col("a.x"))
+    hits = rows.select("source", "roi", "z", "y", cross.alias("cross")).groupBy("source", "roi", "z", "y").agg(F.array_sort(F.collect_list("cross")).alias("c"))
+    # between an odd crossing and the next even one
+    spans = hits.join(grid, "source").where("y >= 0 and y < n_y").select("source", "roi", "z", "y", "n_x", F.explode(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1)).alias("k"), "c")
+    from_x, to_x = F.greatest(F.ceil(F.get("c", F.col("k") * 2)), F.lit(0)).cast("int"), F.least(F.ceil(F.get("c", F.col("k") * 2 + 1)) - 1, F.col("n_x") - 1).cast("int")
+    return spans.where(from_x <= to_x).select("source", "roi", "z", "y", F.explode(F.sequence(from_x, to_x)).alias("x")).distinct()
+
+
+def segments(frames: DataFrame, segment_names: DataFrame, rois: list[str] | None = None) -> DataFrame:
+    """VOX-15, ARR-05: voxels of a segmentation's frames by segment: (source, roi, z, y, x); z counts the segment's own frames.
+
+    ``frames``: source, frame, segment_number (of the frame), y, x, value; ``segment_names``: source, segment_number, label (null: by number).
+    A source none of whose frames names a segment gives all of its frames to each segment.
+    """
+    named = segment_names.withColumn("roi", F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("segment_"), F.col("segment_number").cast("string"))))
+    if rois:
+        named = named.where(F.col("roi").isin(rois))
+    own = frames.select("source", "frame", "segment_number").distinct()
+    bare = own.groupBy("source").agg(F.max("segment_number").alias("_any")).where("_any is null").select("source")
+    placed = own.where("segment_number is not null").join(named, ["source", "segment_number"]).select("source", "frame", "roi")
+    placed = placed.unionByName(own.join(bare, "source").drop("segment_number").join(named, "source").select("source", "frame", "roi"))
+    order = Window.partitionBy("source", "roi").orderBy("frame")
+    placed = placed.withColumn("z", (F.row_number().over(order) - 1).cast("int"))
+    return frames.where("value > 0").select("source", "frame", "y", "x").join(placed, ["source", "frame"]).select("source", "roi", "z", "y", "x")
+
+
+def tiles(slides: DataFrame, tile: int = 256, stride: int = 256) -> DataFrame:
+    """VOX-16, ARR-01: the places of all tiles of ``slides`` (slide_id, width, height): (slide_id, y, x, tile_size)."""
+    return slides.select("slide_id", F.explode(S.tile_origins(F.col("height"), tile, stride)).alias("y"), "width").select("slide_id", "y", F.explode(S.tile_origins(F.col("width"), tile, stride)).alias("x"), F.lit(tile).alias("tile_size"))
+
+
+def overlay(slices: DataFrame, mask: DataFrame) -> DataFrame:
+    """VOX-17: (sample_id, y, x, red, green, blue) of rescaled middle slices (value in 0..1), masked pixels (sample_id, y, x) tinted red."""
+    gray = F.floor(F.col("value") * 255).cast("int")
+    dim = F.floor(gray * F.lit(0.35)).cast("int")
+    on = slices.join(mask.select("sample_id", "y", "x").distinct().withColumn("_in", F.lit(True)), ["sample_id", "y", "x"], "left")
+    tint = lambda c: F.when(F.col("_in"), c).otherwise(gray)
+    return on.select("sample_id", "y", "x", tint(F.lit(255)).alias("red"), tint(dim).alias("green"), tint(dim).alias("blue"))
+
+
+def visuals(samples: DataFrame, most: int = 24) -> DataFrame:
+    """VOX-17, WIN-01: (sample_id, qc_id) of the first samples by id, under names that do not tell who they are."""
+    kept = samples.select("sample_id").distinct().orderBy("sample_id").limit(most)
+    n = F.row_number().over(Window.orderBy("sample_id"))  # over ``most`` rows
+    return kept.select("sample_id", S.public_name(n, F.col("sample_id").cast("string")).alias("qc_id"))

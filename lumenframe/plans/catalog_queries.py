@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import scalars as S
 from lumenframe.operators import disclosure as D
+from lumenframe.operators import generations as G
+from lumenframe.operators import publishing as P
 from lumenframe.operators import relational as R
+from lumenframe.operators import statistics as ST
+from lumenframe.operators import voxels as V
 from lumenframe.session import table
 
 _QUERIES: dict = {}
@@ -87,11 +91,10 @@ def _(t):
     return R.join_metadata(t("documents").select("doc_id", "n_chars"), t("labels"), "doc_id")
 
 
-@_query("null_safe_left_join", "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON nullif(o.o_custkey%7,0) IS NOT DISTINCT FROM nullif(c.c_custkey%7,0) AND o.o_custkey = c.c_custkey")
+@_query("null_safe_left_join", "WITH m AS (SELECT nullif(n_regionkey, 0) AS k, min(n_name) AS n_name FROM nation GROUP BY 1) SELECT s_suppkey, s.k, n_name FROM (SELECT s_suppkey, nullif(s_nationkey % 5, 0) AS k FROM supplier) s LEFT JOIN m ON s.k IS NOT DISTINCT FROM m.k")
 def _(t):
-    o, c = t("orders"), t("customer")
-    part = lambda x: F.nullif(x % 7, F.lit(0).cast("long"))
-    return o.join(c, part(o["o_custkey"]).eqNullSafe(part(c["c_custkey"])) & (o["o_custkey"] == c["c_custkey"]), "left").select("o_orderkey", "c_name")
+    features = t("supplier").select("s_suppkey", F.nullif(F.col("s_nationkey") % 5, F.lit(0)).alias("k"))
+    return R.join_metadata(features, t("nation").select(F.nullif("n_regionkey", F.lit(0)).alias("k"), "n_name"), "k", ["n_name"])
 
 
 @_query("column_projection", "SELECT l_orderkey, l_quantity FROM lineitem")
@@ -104,29 +107,17 @@ def _(t):
     return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
-@_query("lineage_closure", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey")
-def _(t):
-    up = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return up.join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
-
-
-@_query("alias_or_id_resolve", "SELECT p_name AS name, coalesce(a.x, s.s_name) AS asset_id FROM (SELECT DISTINCT p_name FROM part) p LEFT JOIN (SELECT s_name AS x FROM supplier) a ON p.p_name=a.x LEFT JOIN (SELECT min(s_name) AS s_name, 'x' AS k FROM supplier) s ON p.p_name=s.k")
-def _(t):
-    assets = t("supplier").select(F.col("s_name").alias("asset_id"))
-    aliases = t("supplier").agg(F.min("s_name").alias("asset_id")).withColumn("alias", F.lit("x"))
-    return R.resolve_id_or_alias(t("part").select(F.col("p_name").alias("name")).distinct(), assets, aliases)
-
-
 @_query("in_subquery_latest", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment='BUILDING') ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def _(t):
     c = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t("orders").join(c, "o_custkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1).select("o_orderkey", "o_custkey")
+    return R.in_latest(t("orders"), c, "o_custkey", F.desc("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "o_custkey")
 
 
-@_query("hash_diff", "SELECT d.doc_id, CASE WHEN d.doc_id%5=0 THEN 'new' WHEN d.doc_id%7=0 THEN 'changed' ELSE 'unchanged' END AS status FROM documents d")
+@_query("hash_diff", "WITH now AS (SELECT doc_id, sha256(text) AS h FROM documents), old AS (SELECT doc_id, sha256(regexp_replace(text, 'e', 'E')) AS h FROM documents WHERE length(text) % 5 <> 0) SELECT now.doc_id, CASE WHEN old.doc_id IS NULL THEN 'new' WHEN now.h IS DISTINCT FROM old.h THEN 'changed' ELSE 'unchanged' END AS status FROM now LEFT JOIN old USING (doc_id)")
 def _(t):
     now = t("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    stored = now.where("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("content_hash")))
+    first = F.when(F.instr("text", "e") > 0, F.overlay("text", F.lit("E"), F.instr("text", "e"))).otherwise(F.col("text"))
+    stored = t("documents").where("length(text) % 5 <> 0").select("doc_id", F.sha2(first, 256).alias("content_hash"))
     return R.diff_index(now, stored, "doc_id", "content_hash")
 
 
@@ -147,12 +138,6 @@ def _(t):
     return d.join(m, "doc_id", "left").select("doc_id", F.when(F.col("has_mask"), F.col("n_chars")).alias("masked_chars"))
 
 
-@_query("dose_theta_join", "SELECT r.r_name, n.n_name FROM region r JOIN nation n ON n.n_regionkey <= r.r_regionkey")
-def _(t):
-    # JN-12: at most one row for each region on the smaller side, a fixed list
-    return t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") <= F.col("r_regionkey")).select("r_name", "n_name")
-
-
 @_query("orphan_anti_join", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey=o.o_orderkey AND l.l_linestatus='O')")
 def _(t):
     active = t("lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -176,28 +161,27 @@ def _(t):
     return t("events").groupBy("user_id").pivot("event_type", ["click", "error", "view"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@_query("failure_rate", "SELECT user_id, round(avg(CASE WHEN event_type='error' THEN 1.0 ELSE 0.0 END),6) AS rate FROM events GROUP BY 1 HAVING avg(CASE WHEN event_type='error' THEN 1.0 ELSE 0.0 END) > 0.05")
+@_query("failure_rate", "SELECT user_id, avg(CASE WHEN event_type='error' THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY 1 HAVING avg(CASE WHEN event_type='error' THEN 1.0 ELSE 0.0 END) > 0.05")
 def _(t):
-    r = t("events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("rate"))
-    return r.where("rate > 0.05").select("user_id", F.round("rate", 6).alias("rate"))
+    return t("events").groupBy("user_id").agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("rate")).where("rate > 0.05")
 
 
-@_query("qc_metrics", "SELECT user_id, round(min(value),4) AS vmin, round(max(value),4) AS vmax, round(avg(value),4) AS vmean, round(stddev_pop(value),4) AS vstd, count(*) AS voxels FROM events GROUP BY 1")
+@_query("qc_metrics", "SELECT user_id AS sample_id, min(value) AS image_min, max(value) AS image_max, avg(value) AS image_mean, stddev_pop(value) AS image_std FROM events GROUP BY 1")
 def _(t):
-    r = lambda c: F.round(c, 4)
-    return t("events").groupBy("user_id").agg(r(F.min("value")).alias("vmin"), r(F.max("value")).alias("vmax"), r(F.avg("value")).alias("vmean"), r(F.stddev_pop("value")).alias("vstd"), F.count("*").alias("voxels"))
+    return ST.image_metrics(t("events").select(F.col("user_id").alias("sample_id"), "value"))
 
 
-@_query("masked_qc", "SELECT user_id, count(*) FILTER (event_type='purchase') AS mask_voxels, round(avg(value) FILTER (event_type='purchase'),4) AS masked_mean FROM events GROUP BY 1")
+@_query("masked_qc", "SELECT user_id, count(*) FILTER (event_type='purchase') AS mask_voxels, avg(value) FILTER (event_type='purchase') AS masked_mean, stddev_pop(value) FILTER (event_type='purchase') AS masked_std, min(value) FILTER (event_type='purchase') AS masked_min, max(value) FILTER (event_type='purchase') AS masked_max FROM events GROUP BY 1")
 def _(t):
-    m = F.col("event_type") == "purchase"
-    return t("events").groupBy("user_id").agg(F.count_if(m).alias("mask_voxels"), F.round(F.avg(F.when(m, F.col("value"))), 4).alias("masked_mean"))
+    inside = F.when(F.col("event_type") == "purchase", F.col("value"))
+    named = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    return t("events").groupBy("user_id").agg(F.count(inside).alias("mask_voxels"), *[f(inside).alias(f"masked_{n}") for n, f in named.items()])
 
 
-@_query("dose_grouping_sets", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS dose, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_returnflag,l_linestatus))")
+@_query("grouping_sets", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_returnflag,l_linestatus))")
 def _(t):
-    t("lineitem").createOrReplaceTempView("_lineitem")
-    return t("lineitem").sparkSession.sql("SELECT l_returnflag, l_linestatus, round(sum(l_quantity),2) AS dose, count(*) AS n FROM _lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_returnflag,l_linestatus))")
+    flag, state = F.col("l_returnflag"), F.col("l_linestatus")
+    return t("lineitem").groupingSets([[flag], [flag, state]], flag, state).agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
 
 
 @_query("rollup_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -205,16 +189,15 @@ def _(t):
     return t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@_query("embedding_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))),4) AS norm FROM embeddings")
+@_query("embedding_norm", "SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))) AS norm, CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)*CAST(x AS DOUBLE)))) AS first FROM embeddings")
 def _(t):
-    e = t("embeddings")
-    return e.select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+    return t("embeddings").select("vec_id", S.l2_norm(F.col("embedding")).alias("norm"), F.get(S.l2_normalised(F.col("embedding")), F.lit(0)).alias("first"))
 
 
 @_query("percentile_clip_hist", "WITH p AS (SELECT event_type, quantile_cont(value,0.01) lo, quantile_cont(value,0.99) hi FROM events GROUP BY 1), c AS (SELECT e.event_type, lo, hi, least(greatest(value,lo),hi) v FROM events e JOIN p USING (event_type)) SELECT event_type, CAST(least(floor((v-lo)/(hi-lo)*32),31) AS BIGINT) AS bin, count(*) AS n FROM c GROUP BY 1,2")
 def _(t):
     e = t("events")
-    p = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p")).select("event_type", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    p = ST.quantiles(e, "event_type", "value", [0.01, 0.99]).select("event_type", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     c = e.join(p, "event_type").withColumn("v", F.least(F.greatest("value", "lo"), F.col("hi")))
     return c.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 32), F.lit(31)).cast("long")).groupBy("event_type", "bin").agg(F.count("*").alias("n"))
 
@@ -235,10 +218,11 @@ def _(t):
     return runs.groupBy("level", "run_length").agg(F.count("*").alias("n"))
 
 
-@_query("zscore_window", "SELECT event_id, round((value-avg(value) OVER (PARTITION BY user_id))/nullif(stddev_pop(value) OVER (PARTITION BY user_id),0),4) AS z FROM events")
+@_query("zscore_window", "SELECT z, y, x, sample_id, CASE WHEN s > 0 THEN (value - m) / s ELSE value END AS value FROM (SELECT event_id AS z, 0 AS y, 0 AS x, k AS sample_id, v AS value, avg(v) OVER (PARTITION BY k) AS m, stddev_pop(v) OVER (PARTITION BY k) AS s FROM (SELECT event_id, user_id % 10 AS k, CASE WHEN user_id % 10 = 3 THEN 7.0 ELSE value END AS v FROM events))")
 def _(t):
-    w = Window.partitionBy("user_id")
-    return t("events").select("event_id", F.round((F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_pop("value").over(w), F.lit(0.0)), 4).alias("z"))
+    value = F.when(F.col("user_id") % 10 == 3, 7.0).otherwise(F.col("value"))
+    volume = t("events").select((F.col("user_id") % 10).alias("sample_id"), F.col("event_id").alias("z"), F.lit(0).alias("y"), F.lit(0).alias("x"), value.alias("value"))
+    return V.preprocess(volume, [{"op": "zscore"}])
 
 
 @_query("clamp_cast", "SELECT event_id, least(greatest(value,10.0),50.0) AS v FROM events")
@@ -257,9 +241,11 @@ def _(t):
     return top.select(S.public_name(F.row_number().over(Window.orderBy("doc_id")), F.col("doc_id").cast("string")).alias("qc_id"))
 
 
-@_query("claim_topk", "SELECT o_orderkey FROM orders WHERE o_orderstatus='O' ORDER BY o_orderkey LIMIT 10")
+@_query("claim_topk", "SELECT o_orderkey, o_orderstatus AS status FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND row_number() OVER (PARTITION BY o_orderstatus ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) <= 10 THEN 'claimed' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'completed' END AS o_orderstatus FROM orders)")
 def _(t):
-    return t("orders").where("o_orderstatus = 'O'").orderBy("o_orderkey").limit(10).select("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("completed")
+    items = t("orders").select(F.lit("g").alias("generation_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("sample_id"), "o_orderkey", status.alias("status"), F.lit("").alias("claimed_by"), F.lit("").alias("claimed_at"))
+    return G.feed(items, "me", F.lit("2024-01-01 00:00:00").cast("timestamp")).select("o_orderkey", "status")
 
 
 @_query("last_write_wins", "SELECT user_id, arg_max(event_type, (ts,event_id)) AS event_type FROM events GROUP BY 1")
@@ -267,9 +253,10 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
 
 
-@_query("insert_or_ignore", "SELECT user_id, arg_min(event_id, (ts,event_id)) AS event_id FROM events GROUP BY 1")
+@_query("insert_or_ignore", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'stored' ELSE 'new' END AS origin FROM events")
 def _(t):
-    return R.first_ranked(t("events"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id")
+    rows = t("events").select("event_id")
+    return R.insert_or_ignore(rows.where("event_id % 3 = 0").withColumn("origin", F.lit("stored")), rows.withColumn("origin", F.lit("new")), ["event_id"])
 
 
 @_query("idempotent_upsert", "SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts,event_id) p FROM events) WHERE event_type IS DISTINCT FROM p")
@@ -289,16 +276,6 @@ def _(t):
     return t("documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@_query("derivation_hash", "SELECT doc_id, sha256('{\"lang\":\"'||lang||'\",\"source\":\"'||source||'\"}') AS derivation_hash FROM documents")
-def _(t):
-    return t("documents").select("doc_id", F.sha2(F.to_json(F.struct("lang", "source")), 256).alias("derivation_hash"))
-
-
-@_query("collection_hash", "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS collection_hash FROM (SELECT source, sha256(text) h FROM documents) GROUP BY 1")
-def _(t):
-    return t("documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ","), 256).alias("collection_hash"))
-
-
 @_query("hash_precedence", "SELECT doc_id, CASE WHEN doc_id%3=0 THEN sha256(text) WHEN doc_id%3=1 THEN md5(text) ELSE 'stream' END AS content_hash, CASE WHEN doc_id%3=0 THEN 'checksum_sha256' WHEN doc_id%3=1 THEN 'etag_md5' ELSE 'stream' END AS hash_source FROM documents")
 def _(t):
     k = F.col("doc_id") % 3
@@ -328,9 +305,10 @@ def _(t):
     return t("embeddings").select("vec_id", F.col("label").isin(1, 3).alias("selected"), (F.col("label") > 0).alias("foreground"))
 
 
-@_query("bbox", "SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1")
+@_query("bbox", "SELECT l_suppkey AS sample_id, min(l_linenumber) AS lo_z, max(l_linenumber) AS hi_z, min(l_partkey) AS lo_y, max(l_partkey) AS hi_y, min(CAST(l_quantity AS INT)) AS lo_x, max(CAST(l_quantity AS INT)) AS hi_x FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def _(t):
-    return t("events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    mask = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("sample_id"), F.col("l_linenumber").alias("z"), F.col("l_partkey").alias("y"), F.col("l_quantity").cast("int").alias("x"))
+    return V.boxes(mask)
 
 
 @_query("tile_grid", "SELECT p_partkey, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM part, unnest(generate_series(0, greatest(0,p_size-16), 16)) a(x), unnest(generate_series(0, greatest(0,p_size-16), 16)) b(y)")
@@ -344,10 +322,10 @@ def _(t):
     return t("pages").select("page_id", S.safe_id(F.col("url")).alias("sample"))
 
 
-@_query("uri_parse", "SELECT page_id, regexp_extract('s3://'||substr(url,9),'^s3://([^/]+)/?(.*)$',1) AS bucket FROM pages WHERE url LIKE 'https://%'")
+@_query("uri_parse", "SELECT page_id, split_part(substr(url, 9), '/', 1) AS bucket, CASE WHEN contains(substr(url, 9), '/') THEN substr(substr(url, 9), strpos(substr(url, 9), '/') + 1) ELSE '' END AS key FROM pages WHERE url LIKE 'https://%'")
 def _(t):
-    p = t("pages").where(F.col("url").like("https://%"))
-    return p.select("page_id", S.s3_bucket(F.concat(F.lit("s3://"), F.expr("substr(url, 9)"))).alias("bucket"))
+    uri = F.concat(F.lit("s3://"), F.expr("substr(url, 9)"))
+    return t("pages").where(F.col("url").like("https://%")).select("page_id", S.s3_bucket(uri).alias("bucket"), S.s3_key(uri).alias("key"))
 
 
 @_query("json_extract", "SELECT event_id, json_extract_string(props,'$.k') AS k FROM events")
@@ -371,9 +349,10 @@ def _(t):
     return t("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("primary_path"))
 
 
-@_query("catalog_filter_sort", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus='F' AND o_totalprice>100000 ORDER BY o_orderdate DESC")
+@_query("catalog_filter_sort", "SELECT o_orderkey AS asset_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus='F' AND o_orderpriority = '1-URGENT'")
 def _(t):
-    return t("orders").where("o_orderstatus = 'F' and o_totalprice > 100000").orderBy(F.desc("o_orderdate")).select("o_orderkey", "o_orderdate")
+    rows = t("orders").select(F.col("o_orderkey").alias("asset_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus", "o_orderpriority")
+    return P.listed(rows, o_orderstatus="F", o_orderpriority="1-URGENT", asset_id="").select("asset_id", "created_at")
 
 
 @_query("tumbling_windows", "SELECT date_trunc('day',ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1,2")
@@ -381,9 +360,11 @@ def _(t):
     return t("events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@_query("approx_distinct")
+@_query("approx_distinct", "SELECT true AS near FROM events LIMIT 1")
 def _(t):
-    return t("events").agg(F.approx_count_distinct("user_id").alias("users"))
+    # the estimate is within 5 % of the exact count
+    n = t("events").agg(F.approx_count_distinct("user_id", 0.01).alias("a"), F.count_distinct("user_id").alias("b"))
+    return n.select((F.abs(F.col("a") - F.col("b")) <= 0.05 * F.col("b")).alias("near"))
 
 
 @_query("as_of_join", "SELECT event_id, max(ts) FILTER (event_type='view') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_view FROM events")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +73,12 @@ def feature_file(spark: SparkSession, root: str) -> str:
 
 
 def read_hash_index(spark: SparkSession, uri: str) -> DataFrame:
-    """SRC-09: the index at ``uri``; a missing one is empty and has all columns."""
+    """SRC-09: the index at ``uri``; a missing or unreadable one is empty and has all columns."""
     try:
-        return spark.read.schema(INDEX_SCHEMA).parquet(uri)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+        spark.read.parquet(uri)  # reads a footer, so that a file of another kind is found out here
+    except (AnalysisException, Py4JJavaError, SparkRuntimeException, PySparkException):
         return spark.createDataFrame([], INDEX_SCHEMA)
+    return spark.read.schema(INDEX_SCHEMA).parquet(uri)
 
 
 def write_hash_index(index: DataFrame, uri: str) -> None:
@@ -91,5 +91,5 @@ def hashed(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(S.EXTENSIONS))
     return files.select(
         S.sample_id(F.col("path")).alias("sample_id"), F.col("path").alias("uri"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"),
-        S.iso_time(F.col("modificationTime")).alias("last_modified"), F.lit(None).cast("string").alias("version_id"), F.lit(None).cast("string").alias("etag"),
+        F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_modified"), F.lit(None).cast("string").alias("version_id"), F.lit(None).cast("string").alias("etag"),
     )
