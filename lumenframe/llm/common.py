@@ -89,8 +89,12 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def other_columns(docs: DataFrame, text: str = "text") -> tuple[Column, Callable[[Column], Column]]:
-    """All columns but the text as one JSON string, with a mark of null texts (``_null``), and the way back to a struct."""
-    fields = [F.col(f"`{c}`") for c in docs.columns if c != text] + [F.col(text).isNull().alias("_null")]
-    schema = docs.select(*fields).schema
-    return F.to_json(F.struct(*fields), _JSON), lambda packed: F.from_json(packed, schema, _JSON)
+def other_columns(docs: DataFrame, text: str = "text") -> tuple[Column, Callable[[str], Column], dict[str, str]]:
+    """All columns but the text as one JSON string, the way back to a struct, and each column's field there.
+
+    Fields have names of their own (``c0`` ...), so that no table's column clashes; ``none`` marks null texts.
+    """
+    fields = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
+    columns = [*[F.col(f"`{c}`").alias(f) for c, f in fields.items()], F.col(text).isNull().alias("none")]
+    schema = docs.select(*columns).schema
+    return F.to_json(F.struct(*columns), _JSON), lambda packed: F.from_json(packed, schema, _JSON), fields

@@ -13,8 +13,8 @@ lifts small sources.
 A hot source is numbered in cells of the documents' hashes with partial sums, so no task holds a source. The number of
 sources must be moderate (they are listed on the driver).
 
-Defined results: a null source is a source of its own; null texts weigh one byte; ties of hash are ordered by doc_id; an
-empty table gives an empty mix; extra columns stay.
+Defined results: a null source is a source of its own; null texts weigh one byte; ties of hash are ordered by doc_id, then by a hash of the text; an
+empty table gives an empty mix; extra columns stay, but for those with the names of the four new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import staged, tidy
 
 BLOCK_BYTES = 1 << 17
-#: Slots of a schedule that is broadcast; a longer one is joined as Spark chooses.
-BROADCAST_SLOTS = 1 << 22
+#: Rows of a schedule or plan that are broadcast; a longer one is joined as Spark chooses. Rows in a cell of a source.
+BROADCAST_SLOTS, CELL_ROWS = 1 << 20, 50_000
 
 
 def quotas(weights: dict) -> dict:
@@ -61,15 +61,18 @@ def schedule(quota: dict, slots: int | None = None) -> list:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_bytes: int = BLOCK_BYTES, text: str = "text", source: str = "source", doc_id: str = "doc_id", size: str | None = None, n_rows: int | None = None) -> DataFrame:
     """``docs`` once for each use, with ``block``, ``epoch`` and ``slot`` (all from 0) and ``target_weight``.
 
-    ``size``: a column of the documents' bytes, if not those of ``text``.
+    ``size``: a column of the documents' bytes, if not those of ``text``. ``n_rows``: how many rows ``docs`` has, if that is known.
     """
     spark = docs.sparkSession
     bytes_ = F.col(size) if size else (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long")
-    rows = docs.withColumn("_size", bytes_).withColumn("_h", F.xxhash64(F.col(doc_id).cast("long"), F.lit(17))).withColumn("_src", F.col(source).cast("string"))
-    bits = 8
+    # own columns have names that no table's column has
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)], bytes_.alias("_size"), F.xxhash64(F.col(doc_id).cast("long"), F.lit(17)).alias("_h"), F.xxhash64(F.col(text), F.lit(18)).alias("_tie"), F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_src"))
+    n = docs.count() if n_rows is None else n_rows
+    # cells of about CELL_ROWS rows, if one source had them all
+    bits = min(max(8, (n // CELL_ROWS).bit_length()), 20)
     rows = rows.withColumn("_cell", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
     cells = staged(rows.groupBy("_src", "_cell").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_docs")), "mix-cells")
     totals = {r["_src"]: (r["b"], r["n"]) for r in cells.groupBy("_src").agg(F.sum("_bytes").alias("b"), F.sum("_docs").alias("n")).collect()}
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
         weights = {s: b**temperature for s, (b, _) in totals.items()}
     weights = {s: w for s, w in weights.items() if s in totals}
     if not weights:
-        return docs.limit(0).select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("target_weight"))
+        return docs.limit(0).drop("block", "epoch", "slot", "target_weight").select("*", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("slot"), F.lit(0.0).alias("target_weight"))
     quota = quotas(weights)
     total = sum(quota.values())
     blocks = {s: max(1, -(-totals[s][0] // block_bytes)) for s in quota}
@@ -93,17 +96,23 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7,
     plan = spark.createDataFrame([(s, number[s], blocks[s], len(places[s]), quota[s] / total) for s in quota], "_src string, _k long, _blocks long, _uses long, target_weight double")
     # bytes of the source before each cell: at most 2 ** bits rows for each source
     before = cells.select("_src", "_cell", (F.sum("_bytes").over(Window.partitionBy("_src").orderBy("_cell")) - F.col("_bytes")).alias("_before"))
-    start = before.join(F.broadcast(plan), before["_src"].eqNullSafe(plan["_src"])).drop(plan["_src"])
-    inside = Window.partitionBy("_src", "_cell").orderBy("_h", F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1)
+    start = before.join(_small(plan, len(quota)), before["_src"].eqNullSafe(plan["_src"])).drop(plan["_src"])
+    inside = Window.partitionBy("_src", "_cell").orderBy("_h", "_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("_off", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     cell, src = start["_cell"], start["_src"]
-    joined = numbered.join(F.broadcast(start), numbered["_src"].eqNullSafe(src) & (numbered["_cell"] == cell)).drop(src, cell)
-    joined = joined.withColumn("block", F.expr(f"(_before + _off) div {block_bytes}"))
-    use = joined.withColumn("epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_uses - 1 - block) div _blocks))")))
-    use = use.withColumn("_place", F.shiftleft("_k", 40) + F.col("block") + F.col("epoch") * F.col("_blocks"))
+    joined = numbered.join(_small(start, len(quota) << bits), numbered["_src"].eqNullSafe(src) & (numbered["_cell"] == cell)).drop(src, cell)
+    joined = joined.withColumn("_block", F.expr(f"(_before + _off) div {block_bytes}"))
+    use = joined.withColumn("_epoch", F.explode(F.expr("sequence(0L, greatest(0L, (_uses - 1 - _block) div _blocks))")))
+    use = use.withColumn("_place", F.shiftleft("_k", 40) + F.col("_block") + F.col("_epoch") * F.col("_blocks"))
     order = _places(spark, [places[s] for s in quota])
-    order = F.broadcast(order) if slots <= BROADCAST_SLOTS else order
-    return use.join(order, "_place").select(*docs.columns, "block", "epoch", "slot", "target_weight")
+    own = {"block": "_block", "epoch": "_epoch", "slot": "slot", "target_weight": "target_weight"}
+    kept = [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in own]
+    return use.join(_small(order, slots), "_place").select(*kept, *[F.col(c).alias(x) for x, c in own.items()])
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has few rows; else Spark chooses."""
+    return F.broadcast(df) if rows <= BROADCAST_SLOTS else df
 
 
 def _places(spark: SparkSession, places: list[array]) -> DataFrame:
@@ -144,6 +153,6 @@ def stage(docs: DataFrame) -> DataFrame:
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")
     size = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("_bytes")
     rows = _squeezed(docs.select(rest, F.col("text").alias("_text"), "doc_id", "source", size), True)
-    mixed = mix(rows, text="_text", size="_bytes").repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "epoch", "doc_id")
+    mixed = mix(rows, text="_text", size="_bytes", n_rows=docs.count()).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "epoch", "doc_id")
     back = _squeezed(mixed.select("_rest", "_text"), False)
     return back.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

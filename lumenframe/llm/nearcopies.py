@@ -297,12 +297,47 @@ def _deeper(batches: Iterator) -> Iterator:
 TASK_ROWS = 20_000
 
 
+#: Edges that a task puts together at once before it sends them on.
+FOREST = 1 << 20
+
+
+def _forest(batches: Iterator) -> Iterator:
+    """Edges put together as far as a task sees them: each node with the smallest one that it can reach, if that is another."""
+    import pyarrow as pa
+
+    def reduced(parts: list[np.ndarray]):
+        nodes, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            for at in (a, b, root[a], root[b]):
+                np.minimum.at(new, at, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far], pa.int64()), pa.array(nodes[root[far]], pa.int64())], names=["u", "v"])
+
+    parts, held = [], 0
+    for b in batches:
+        parts.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+        held += len(b)
+        if held >= FOREST:
+            yield reduced(parts)
+            parts, held = [], 0
+    if held:
+        yield reduced(parts)
+
+
 def components(edges: DataFrame, name: str = "near-components") -> DataFrame:
     """(id, label): the smallest id that each id of an edge can reach; large-star and small-star rounds until only stars are left.
 
     A hub's edges are joined with a single row; adaptive execution splits such a side.
     """
-    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+    now = staged(edges.select("u", "v").mapInArrow(tidy(_forest), "u long, v long").distinct(), name)
     while True:
         tasks = max(1, -(-2 * now.count() // TASK_ROWS))
         few = lambda df, n=tasks: df.coalesce(n)
@@ -446,7 +481,7 @@ def stage(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     Rows are told apart by their place in the blocks, so null and repeated ids do no harm; texts are not exchanged but in blocks.
     """
-    rest, back = other_columns(docs)
+    rest, back, fields = other_columns(docs)
     blocks = pack(docs.select("doc_id", "text", rest.alias("_rest")), "near-blocks", extra="_rest")
     gone = _judged(blocks, shingle, percent).where("not first").groupBy("block").agg(F.collect_list("row").alias("gone"))
 
@@ -463,4 +498,4 @@ def stage(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
                 first += len(texts)
 
     found = blocks.join(gone, "block", "left").mapInArrow(tidy(run), "text string, rest string").select("text", back("rest").alias("r"))
-    return found.select(*[F.when(~F.col("r._null"), F.col("text")).alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[F.when(~F.col("r.none"), F.col("text")).alias(c) if c == "text" else F.col(f"r.{fields[c]}").alias(c) for c in docs.columns])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .licenses import BREAK, PHRASES, TEMPLATES
+from .licenses import BREAK, PHRASES, TEMPLATES, block_words, needed
 from .quality import BOILERPLATE, BOILERPLATE_WORDS, SYMBOLS, WINDOW
 from .substring import SIZE
-from .warc import BASE32, EPOCH
+from .warc import BASE32, EPOCH, LAST
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -99,11 +99,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_pct} * n_words AS base_failed FROM facts)"""
 
 
-def license_sql(threshold: float = 0.9, block_words: int = 64) -> str:
-    """op10: every phrase at every word, every template in every block."""
-    step = block_words - max(len(t.split()) for _, t in TEMPLATES) - 8
+def license_sql(threshold: float = 0.9) -> str:
+    """op10: every phrase at every word; every template in the block from each word of each text that holds tokens enough at all."""
     phrases = " UNION ALL ".join(f"SELECT {_list(p.split())} AS pw, '{label}' AS label" for p, label in PHRASES)
-    templates = " UNION ALL ".join(f"SELECT {_list(sorted(set(t.split())))} AS tokens, '{name}' AS label" for name, t in TEMPLATES)
+    templates = " UNION ALL ".join(f"SELECT {_list(sorted(set(t.split())))} AS tokens, '{name}' AS label, {needed(t, threshold)} AS need, {block_words(t)} AS words" for name, t in TEMPLATES)
     return rf"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
@@ -113,11 +112,9 @@ WITH d AS MATERIALIZED (
   SELECT rid, label, p - 1 AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS p FROM d), phrase
   WHERE ws[p] = pw[1] AND ws[p:p + len(pw) - 1] = pw
 ), base AS (SELECT rid, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM place GROUP BY rid
-), block AS (
-  SELECT rid, list_distinct(ws[p:p + {block_words - 1}]) AS b
-  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - {block_words - step}, 1) + 1, {step})) AS p FROM d)
-), share AS (SELECT rid, label, len(tokens) AS n, len(list_intersect(tokens, b)) AS common FROM block, template
-), hit AS MATERIALIZED (SELECT rid, label, max(common / n::DOUBLE) AS share FROM share WHERE common >= ceil({threshold}::DOUBLE * n - 1e-9) GROUP BY rid, label
+), able AS MATERIALIZED (SELECT rid, ws, template.* FROM d, template WHERE len(list_intersect(tokens, ws)) >= need
+), share AS (SELECT rid, label, len(tokens) AS n, need, len(list_intersect(tokens, ws[p:p + words - 1])) AS common FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM able)
+), hit AS MATERIALIZED (SELECT rid, label, max(common / n::DOUBLE) AS share FROM share WHERE common >= need GROUP BY rid, label
 ), label AS (SELECT rid, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS best
   FROM (SELECT rid, label, share FROM hit UNION ALL SELECT rid, label, 1.0 FROM place) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
@@ -140,7 +137,7 @@ WITH p AS MATERIALIZED (
 ), r AS (
   SELECT page_id, payload_bytes, {letters} AS payload_digest, first,
     array_to_string(list_reverse(string_split(regexp_replace(split_part(lower(host), ':', 1), '^www[.]', ''), '.')), ',') || ')' || lower(path) AS urlkey,
-    strftime(make_timestamp(({EPOCH} + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+    strftime(make_timestamp(({EPOCH} + page_id % {LAST}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
   FROM q
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,

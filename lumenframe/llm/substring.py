@@ -258,12 +258,12 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Texts are carried once, in the blocks; the other columns go beside them. ``n_chars``, if there is one, follows the text.
     """
-    rest, back = other_columns(docs)
+    rest, back, fields = other_columns(docs)
     found = dedup(docs.select("doc_id", "text", rest.alias("_rest")), extra="_rest").select("n_removed", "cut_text", back("_rest").alias("r"))
-    new = {"text": F.when(~F.col("r._null"), F.col("cut_text"))}
+    new = {"text": F.when(~F.col("r.none"), F.col("cut_text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r.n_chars"))
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"r.{fields['n_chars']}"))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"r.{fields[c]}").alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -28,10 +28,12 @@ from .common import partitions_for, shared_dir, staged
 #: The base-32 alphabet and the profile of revisits by equal payload.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Captures in one merged range, and the most ranges.
-RANGE_ROWS, MAX_RANGES, SAMPLE = 20_000, 4096, 65_536
-#: The time of page 0; pages carry no time of their own, so page n was taken n seconds later.
-EPOCH = 1_700_000_000
+#: Captures in one merged range, and sampled captures for each range.
+RANGE_ROWS, SAMPLE = 20_000, 16
+#: The time of page 0; pages carry no time of their own, so page n was taken n seconds later (n modulo LAST).
+EPOCH, LAST = 1_700_000_000, 251_000_000_000
+#: Parts of a payload's pages, and bytes of payload in an archive on average.
+PARTS, FILE_BYTES = 32, 128 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -55,11 +57,16 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html").cast("long"))
     # payloads that stand more than once: counts are summed before they are exchanged
     firsts = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, ["digest", "size"], "left")
-    # of equal page_ids all but none refer: a record refers only to a smaller page_id
-    revisit = F.col("first") < F.col("page_id")
+    # only (digest, page_id) meets them, in parts of a digest, so that a payload of a third of all pages is no hot key; pages are joined by id
+    part = F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int").alias("_part")
+    copies = firsts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    later = rows.select("digest", "size", "page_id", part).join(copies, ["digest", "size", "_part"]).where("first < page_id").select("page_id", "digest", "first").distinct()
+    rows = rows.join(later, ["page_id", "digest"], "left")
+    # a record refers only to a smaller page_id
+    revisit = F.col("first").isNotNull()
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col("page_id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # dates of four-digit years: ids go round after LAST seconds
+    when = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(LAST))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -79,9 +86,11 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, F.lit("\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 8192) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of about ``file_bytes`` before compression; ``offset`` counts in what is inflated, as a file is one gzip member."""
     out = records(pages, min_bytes)
-    out.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    mean = out.agg(F.avg(F.octet_length("value"))).first()[0] or 1.0
+    out.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
@@ -211,10 +220,10 @@ def loser_tree_merge(segments: list[list[tuple]], key=_order) -> Iterator[tuple]
 
 
 def merged_index(run_rows: DataFrame) -> DataFrame:
-    """All captures with their place in the global order, however the ranges were cut; the range counts are at most ``MAX_RANGES`` rows."""
+    """All captures with their place in the global order, however the ranges were cut; one row for each range comes to the driver."""
     total = run_rows.agg(F.sum(F.size("captures"))).first()[0] or 0
-    ranges = min(MAX_RANGES, max(partitions_for(run_rows.sparkSession), -(-total // RANGE_ROWS)))
-    keep = min(1.0, SAMPLE / max(total, 1))
+    ranges = max(partitions_for(run_rows.sparkSession), -(-total // RANGE_ROWS))
+    keep = min(1.0, SAMPLE * ranges / max(total, 1))
     one = F.explode("captures").alias("c")
     draw = F.pmod(F.xxhash64("c.page_id", "c.offset"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1
     sample = run_rows.select(one).where(draw).select("c.*").collect()
