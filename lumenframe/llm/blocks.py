@@ -134,13 +134,15 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return hashes, np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
 
 
-def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", extra: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", extra: str | None = None, block_bytes: int | None = None) -> DataFrame:
     """(block, n_bytes, n_docs, frames): the documents' ids and texts in blocks, written to the shared folder.
 
     A block's number is that of its first row; rows are numbered one by one, so every row has a number of its own.
-    ``extra``: a column of strings that is carried along with the texts.
+    ``extra``: a column of strings that is carried along with the texts. ``block_bytes``: of text, if not ``BLOCK_BYTES``.
     """
 
+    limit = block_bytes or BLOCK_BYTES
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -163,7 +165,7 @@ def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id",
                     frames.append(pack_block(ids, texts, extras))
                     total, n_docs = total + size, n_docs + len(ids)
                     ids, texts, extras, size = [], [], [], 0
-                    if total + len(t) > BLOCK_BYTES:
+                    if total + len(t) > limit:
                         yield block()
                         number, frames, total, n_docs = number + n_docs, [], 0, 0
                 ids.append(NO_ID if i is None else i)

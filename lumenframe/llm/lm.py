@@ -32,6 +32,8 @@ from .common import staged, tidy
 #: Hashes of the end of a text and of its start.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 FOLDS, HELD_OUT = 7, 2
+#: Bytes of text in a block: the replies to a block, several times its text, are one row.
+BLOCK = 8 << 20
 
 
 class Tokens:
@@ -85,12 +87,14 @@ def _asks(order: int):
         for body in row["frames"]:
             t = Tokens(body)
             keys, asked = t.keys(order, known)
-            keys, train = keys[asked], t.train[asked].astype(np.int64)
+            keys, train = keys[asked], t.train[asked].astype(np.int32)
             if order == 1:
                 keys = np.concatenate((keys, np.full(len(t.ids), START)))
-                train = np.concatenate((train, ~t.held_out)).astype(np.int64)
-            parts.append(distinct([keys, train, np.ones(len(keys), np.int64)], np.add, np.add))
-        return merged(parts, np.add, np.add)
+                train = np.concatenate((train, ~t.held_out)).astype(np.int32)
+            parts.append(distinct([keys, train, np.ones(len(keys), np.int32)], np.add, np.add))
+            if len(parts) > 1:
+                parts = [merged(parts, np.add, np.add)]
+        return parts[0]
 
     return fn
 
@@ -98,7 +102,7 @@ def _asks(order: int):
 def _counts(parts: list[list[np.ndarray]]):
     """For each block the training counts of those of its keys that occur more than once; a block sends (keys, training count, count)."""
     keys = np.concatenate([p[0] for p in parts])
-    every, train, total = distinct([keys, *[np.concatenate([p[i] for p in parts]) for i in (1, 2)]], np.add, np.add)
+    every, train, total = distinct([keys, *[np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2)]], np.add, np.add)
     at = np.searchsorted(every, keys)
     often, sums = (total > 1)[at], train[at]
     ends = np.cumsum([len(p[0]) for p in parts]).tolist()
@@ -154,7 +158,7 @@ class Automaton:
 
 def score(docs: DataFrame, smooth: tuple[float, float] = (50.0, 5.0), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
-    blocks = pack(docs, "lm-blocks", text, doc_id)
+    blocks = pack(docs, "lm-blocks", text, doc_id, block_bytes=BLOCK)
     buckets = bucket_count(blocks)
     replies = [staged(answer(ask(blocks, _asks(1), buckets), _counts, buckets, 2), "lm-words", "uncompressed")]
     n, v = replies[0].where("block is null").agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
