@@ -8,6 +8,7 @@ import json
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,6 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
     Sizes and times enter as big-endian 64-bit numbers; the time's bits have no built-in function, so they are made in Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def head(size: pd.Series, mtime: pd.Series) -> pd.Series:
         import numpy as np

@@ -54,8 +54,12 @@ def opening(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     return dilate(erode(mask, radius), radius)
 
 
-def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: int | None = 1) -> DataFrame:
-    """VOX-03: face-connected components, numbered from 1 by size; ties go by the first voxel in (z, y, x) order."""
+def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: int | None = 1, keys: tuple[str, ...] = ("sample_id",), corners: bool = False) -> DataFrame:
+    """VOX-03: connected components of each group of ``keys``, numbered from 1 by size; ties go by the first voxel in (z, y, x) order.
+
+    Voxels are joined by faces, with ``corners`` by edges and corners too.
+    """
+    steps = [o for o in product((0, 1), (-1, 0, 1), (-1, 0, 1)) if o > (0, 0, 0) and (corners or sum(map(abs, o)) == 1)]
 
     def label(part):
         import numpy as np
@@ -67,7 +71,7 @@ def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: i
         size = at.max(axis=0) + 2  # one voxel of room, so that a step past the edge meets no voxel of the next line
         code = (at[:, 0] * size[1] + at[:, 1]) * size[2] + at[:, 2]
         edges = []
-        for step in (size[1] * size[2], size[2], 1):
+        for step in ((dz * size[1] + dy) * size[2] + dx for dz, dy, dx in steps):
             to = np.searchsorted(code, code + step)
             found = np.flatnonzero(np.append(code, -1)[to] == code + step)
             edges.append((found, to[found]))
@@ -88,11 +92,11 @@ def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: i
         rank[order] = np.arange(1, len(first) + 1)
         label, n = rank[inverse], counts[inverse]
         keep = (n >= min_voxels) & ((label <= max_components) if max_components else True)
-        return pd.DataFrame({"sample_id": part["sample_id"], "z": part["z"], "y": part["y"], "x": part["x"], "component": label, "n_voxels": n})[keep]
+        return pd.DataFrame({**{k: part[k] for k in keys}, "z": part["z"], "y": part["y"], "x": part["x"], "component": label, "n_voxels": n})[keep]
 
-    kind = mask.schema["sample_id"].dataType.simpleString()
-    rows = mask.select("sample_id", *[F.col(a).cast("int").alias(a) for a in AXES])
-    return rows.groupBy("sample_id").applyInPandas(label, f"sample_id {kind}, z int, y int, x int, component long, n_voxels long")
+    kinds = ", ".join(f"{k} {mask.schema[k].dataType.simpleString()}" for k in keys)
+    rows = mask.select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES])
+    return rows.groupBy(*keys).applyInPandas(label, f"{kinds}, z int, y int, x int, component long, n_voxels long")
 
 
 def boxes(mask: DataFrame, *keys: str) -> DataFrame:
@@ -271,3 +275,50 @@ def visuals(samples: DataFrame, most: int = 24) -> DataFrame:
     kept = samples.select("sample_id").distinct().orderBy("sample_id").limit(most)
     n = F.row_number().over(Window.orderBy("sample_id"))  # over ``most`` rows
     return kept.select("sample_id", S.public_name(n, F.col("sample_id").cast("string")).alias("qc_id"))
+
+
+def _with_simpleitk(volume: DataFrame, work) -> DataFrame:
+    """``work(sitk, image)`` on each whole image, in a task that has the SimpleITK library; its values in place of the old ones."""
+    kind = volume.schema["sample_id"].dataType.simpleString()
+
+    def one(part):
+        import numpy as np
+        import pandas as pd
+
+        try:
+            import SimpleITK as sitk
+        except ImportError as e:
+            raise RuntimeError("this step needs the SimpleITK library on the executors") from e
+        at = part[list(AXES)].to_numpy(np.int64)
+        array = np.zeros(at.max(axis=0) + 1, np.float32)
+        array[tuple(at.T)] = part["value"]
+        out = sitk.GetArrayFromImage(work(sitk, sitk.GetImageFromArray(array)))
+        places = np.argwhere(np.ones(out.shape, bool))
+        return pd.DataFrame({"sample_id": part["sample_id"].iloc[0], **dict(zip(AXES, places.T.astype("int32"), strict=True)), "value": out.ravel().astype("float64")})
+
+    return volume.groupBy("sample_id").applyInPandas(one, f"sample_id {kind}, z int, y int, x int, value double")
+
+
+def n4_bias(volume: DataFrame) -> DataFrame:
+    """VOX-10: bias field correction inside an Otsu mask."""
+    return _with_simpleitk(volume, lambda sitk, image: sitk.N4BiasFieldCorrection(image, sitk.OtsuThreshold(image, 0, 1, 200)))
+
+
+def register_rigid(volume: DataFrame, reference: list[list[list[float]]], seed: int = 1) -> DataFrame:
+    """VOX-11: each image moved onto ``reference`` (one image, sent to every task) by mutual information; seeded, so runs agree."""
+
+    def work(sitk, image):
+        import numpy as np
+
+        fixed = sitk.GetImageFromArray(np.asarray(reference, np.float32))
+        method = sitk.ImageRegistrationMethod()
+        method.SetMetricAsMattesMutualInformation(32)
+        method.SetMetricSamplingStrategy(method.RANDOM)
+        method.SetMetricSamplingPercentage(0.1, seed)
+        method.SetInterpolator(sitk.sitkLinear)
+        method.SetOptimizerAsGradientDescent(1.0, 100)
+        method.SetOptimizerScalesFromPhysicalShift()
+        method.SetInitialTransform(sitk.CenteredTransformInitializer(fixed, image, sitk.Euler3DTransform()), False)
+        return sitk.Resample(image, fixed, method.Execute(fixed, image), sitk.sitkLinear, 0.0)
+
+    return _with_simpleitk(volume, work)

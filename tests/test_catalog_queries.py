@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lumenframe.plans import catalog_queries, generation_queries, volume_queries
+from lumenframe.plans import catalog_queries, generation_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = catalog_queries.queries() | volume_queries.queries() | generation_queries.queries()
-SQL = catalog_queries.oracle_sql() | volume_queries.oracle_sql() | generation_queries.oracle_sql()
+QUERIES = catalog_queries.queries() | generation_queries.queries()
+SQL = catalog_queries.oracle_sql() | generation_queries.oracle_sql()
 
 
 def rows(columns, found):

@@ -67,11 +67,11 @@ def test_components(spark, masks):
         groups = sorted(plain_components({p for p in cells(df) if p[0] == s}), key=lambda g: (-len(g), min(g)))
         for i, g in enumerate(groups, 1):
             expected |= {p: (i, len(g)) for p in g}
-    got = {tuple(r)[:4]: (r.component, r.n_voxels) for r in V.connected_components(df.unionAll(df)).collect()}
+    got = {tuple(r)[:4]: (r.component, r.n_voxels) for r in V.connected_components(df.unionAll(df), max_components=None).collect()}
     assert got == expected
     few = V.connected_components(df, min_voxels=2, max_components=1)
     assert {tuple(r)[:4] for r in few.collect()} == {p for p, (i, n) in expected.items() if i == 1 and n >= 2}
-    assert V.connected_components(df.limit(0)).count() == 0
+    assert {r.component for r in V.connected_components(df).collect()} == {1} and V.connected_components(df.limit(0)).count() == 0
 
 
 def test_crops(spark, masks):
@@ -127,3 +127,15 @@ def test_lung_threshold(spark):
     got = cells(V.lung_threshold(df, sizes, min_voxels=2))
     assert {p[1:] for p in got if p[0] == "a"} == set(product((3, 4), repeat=3))
     assert sum(p[0] == "rim" for p in got) == 8
+    none = spark.createDataFrame([("a", 9, 9, 9), ("void", 9, 9, 9)], sizes.schema)
+    with pytest.raises(Exception, match="no lung found in void"):
+        V.lung_threshold(df, none, min_voxels=2).collect()
+
+
+def test_lung_gaps_are_closed_by_axis(spark):
+    a = np.zeros((9, 13, 13))
+    a[3:6, 4:9, 4:9] = -900.0
+    a[3:6, 6, 5:8] = 0.0  # a gap of one voxel in y
+    sizes = spark.createDataFrame([("a", 9, 13, 13)], "sample_id string, n_z int, n_y int, n_x int")
+    got = {p[1:] for p in cells(V.lung_threshold(frame(spark, {"a": a}, True), sizes, min_voxels=2))}
+    assert got >= set(product(range(3, 6), range(4, 9), range(4, 9)))
