@@ -65,11 +65,68 @@ def store(events: DataFrame, folder: str, checkpoint: str, once: bool = False) -
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
+#: What must differ for a row to be a change.
+COMPARED = ("content_hash", "source", "bucket", "object_key")
+
+
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """The last row of each resource over all batches; ties within a batch go to the larger hash."""
+    """UPS-03: the last row of each resource over all batches; ``updated_at`` is that of the first of its last equal rows, so a repeat changes nothing.
+
+    Ties within a batch go to the larger hash.
+    """
     rows = spark.read.schema(f"{FIELDS}, batch long").parquet(folder)
-    last = F.max_by(F.struct(*[c for c in rows.columns if c not in ("resource_name", "batch")]), F.struct("batch", "updated_at", "content_hash"))
-    return rows.groupBy("resource_name").agg(last.alias("_last")).select("resource_name", "_last.*")
+    w = Window.partitionBy("resource_name").orderBy("batch", "updated_at", "content_hash")
+    # the first row of a resource is a change whatever it holds
+    changed = F.row_number().over(w) == 1
+    for c in COMPARED:
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    rows = rows.withColumn("_since", F.when(changed, F.struct("batch", "updated_at")))
+    order = F.struct("batch", "updated_at", "content_hash")
+    last = F.max_by(F.struct(*COMPARED), order).alias("_last")
+    return rows.groupBy("resource_name").agg(last, F.max("_since").alias("_since")).select("resource_name", *[f"_last.{c}" for c in COMPARED], F.col("_since.updated_at").alias("updated_at"))
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """Puts all batches that are there now into one and drops them; returns how many. Readers see the same index before, during and after.
+
+    The new batch gets a number below all others but above earlier ones of its kind, so what arrives meanwhile counts as later.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [p.getPath() for p in fs.listStatus(root) if p.getPath().getName().startswith("batch=")]
+    numbers = [int(p.getName().split("=")[1]) for p in old]
+    new = max([-(1 << 62), *[n for n in numbers if n < 0]]) + 1
+    if not old:
+        return 0
+    stage = f"{folder}/_compacting"
+    index(spark, folder).write.mode("overwrite").parquet(stage)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={new}"))
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+def respond(spark: SparkSession, folder: str, method: str, body: str) -> tuple[int, dict]:
+    """STM-01: a web hook's answer: 405 for other methods than POST, 400 for what is no event, else 200 with how many records were put for the stream."""
+    import json
+    import uuid
+
+    from lumenframe.sources.sinks import put_text
+
+    if method != "POST":
+        return 405, {"ok": False, "error": "only POST is answered"}
+    try:
+        payload = json.loads(body)
+        records = payload.get("Records") or [payload]
+        for r in records:
+            s3 = r.get("s3") or {}
+            if not ((s3.get("bucket") or {}).get("name") or r.get("bucket") or r.get("Bucket")) or not ((s3.get("object") or {}).get("key") or r.get("key") or r.get("Key")):
+                raise ValueError("event without bucket or object key")
+    except (ValueError, AttributeError, TypeError) as e:
+        return 400, {"ok": False, "error": str(e)}
+    put_text(spark, f"{folder.rstrip('/')}/{uuid.uuid4().hex}.json", body)
+    return 200, {"ok": True, "processed": len(records)}
 
 
 def reconcile(index_: DataFrame, objects: DataFrame) -> DataFrame:
