@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, staged, tidy
+from .common import partitions_for, staged_by, tidy
 
 #: Bytes of text in a frame, which a task opens at once; a longer document is a frame of its own.
 FRAME_BYTES = 4 << 20
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id",
             yield block()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *([F.col(extra).alias("extra")] if extra else []))
-    return staged(rows.mapInArrow(tidy(run), "block long, n_bytes long, n_docs long, frames array<binary>"), name, "uncompressed")
+    return staged_by(rows.mapInArrow(tidy(run), "block long, n_bytes long, n_docs long, frames array<binary>"), name, "block")
 
 
 def pack_block(ids: list[int], texts: list[bytes], extras: list[bytes] | None = None) -> bytes:
@@ -214,6 +214,16 @@ def bucket_count(blocks: DataFrame) -> int:
     return max(partitions_for(blocks.sparkSession), -(-total // BUCKET_BYTES))
 
 
+def pack_keys(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys and further arrays as one compressed string; steps from key to key have fewer bytes than keys."""
+    return pack_arrays(np.diff(keys, prepend=np.uint64(0)), *more)
+
+
+def unpack_keys(data: bytes) -> list[np.ndarray]:
+    steps, *more = unpack_arrays(data)
+    return [np.cumsum(steps, dtype=np.uint64), *more]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """A bucket is a range of keys: sorted keys have sorted buckets."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
@@ -247,7 +257,7 @@ def ask(blocks: DataFrame, fn: Callable, buckets: int) -> DataFrame:
                 continue
             numbers, starts = np.unique(bucket_of(keys, buckets), return_index=True)
             cuts = [*starts.tolist(), len(keys)]
-            blobs = [pack_arrays(keys[a:z], *[m[a:z] for m in more]) for a, z in zip(cuts, cuts[1:], strict=False)]
+            blobs = [pack_keys(keys[a:z], *[m[a:z] for m in more]) for a, z in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([row["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
 
     return blocks.mapInArrow(tidy(run), "bucket int, block long, keys binary")
@@ -266,8 +276,8 @@ def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0) -> DataF
         kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), *[(x, pa.float64()) for x in names]])
 
         def reply(bucket: int, blocks: list[int], blobs: list[bytes]):
-            replies, totals = fn([unpack_arrays(x) for x in blobs])
-            rows = [{"block": k, "bucket": bucket, "answer": pack_arrays(*p)} for k, p in zip(blocks, replies, strict=True) if len(p[0])]
+            replies, totals = fn([unpack_keys(x) for x in blobs])
+            rows = [{"block": k, "bucket": bucket, "answer": pack_keys(*p)} for k, p in zip(blocks, replies, strict=True) if len(p[0])]
             if sums:
                 rows.append({"block": None, "bucket": bucket, "answer": None} | dict(zip(names, map(float, totals), strict=True)))
             return pa.RecordBatch.from_pylist([dict.fromkeys(kinds.names) | r for r in rows], kinds)
@@ -300,7 +310,7 @@ class Known:
     """The replies to a block: sorted keys and what is known of each."""
 
     def __init__(self, replies: list[dict] | None):
-        parts = [unpack_arrays(r["answer"]) for r in sorted(replies or [], key=lambda r: r["bucket"])]
+        parts = [unpack_keys(r["answer"]) for r in sorted(replies or [], key=lambda r: r["bucket"])]
         self.columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0, np.uint64)]
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

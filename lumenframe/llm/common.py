@@ -42,6 +42,19 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``staged``, in as many buckets of ``key`` as there are shuffle partitions: what is joined on the key then moves to it, and it stays.
+
+    The table is known to the session's catalog under a name of its own; its files are in the shared folder.
+    """
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/lumenframe/{name}-{unique}", f"lumenframe_{name.replace('-', '_')}_{unique}"
+    n = min(partitions_for(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "uncompressed").saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
