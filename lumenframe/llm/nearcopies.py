@@ -33,7 +33,8 @@ from .common import other_columns, partitions_for, staged, tidy
 
 COORDINATES, MATCHES = 64, 34
 PREFIX = COORDINATES - MATCHES + 1
-LIST, CHUNK, PIVOTS, REPS = 1024, 512, 16, 8192
+#: Members of a list that a task counts at once (their signatures are a megabyte), classes of a cluster compared at once, pivots, classes in a block.
+LIST, CHUNK, PIVOTS, REPS = 16_384, 512, 16, 8192
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -167,13 +168,15 @@ def _postings(rep_blocks: DataFrame) -> DataFrame:
     return meet(rep_blocks, answer(ask(rep_blocks, held, buckets), _count, buckets)).mapInArrow(tidy(run), POSTING)
 
 
-def _spanning(members: np.ndarray, agree, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
+def _spanning(members: np.ndarray, agree, asking: np.ndarray | None = None, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that join members as far as ``agree(i)`` (a mask over all) joins them; joined members are skipped as far as they can be.
 
-    ``asking``: the members whose agreements are looked at, if not all.
+    ``asking``: the members whose agreements are looked at, if not all; ``joined``: a mask of those that are joined already.
     """
     n = len(members)
     label = np.arange(n)
+    if joined is not None and joined.any():
+        label[joined] = np.flatnonzero(joined)[0]
     edges = []
     for i in range(n) if asking is None else asking.tolist():
         if (label == label[0]).all():
@@ -213,7 +216,9 @@ def _short_lists(lists: DataFrame) -> DataFrame:
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
         for g in np.flatnonzero((np.add.reduceat(to_first.astype(np.int64), starts) < sizes) & (sizes > 2)):
             own = slice(starts[g], starts[g] + sizes[g])
-            edges.update(_spanning(reps[own], lambda i, s=sigs[own]: (s == s[i]).sum(1) >= MATCHES, np.flatnonzero(asking[own])))
+            # those who agree with the first are joined by it; the others are counted against all
+            left = np.flatnonzero(asking[own] & ~to_first[own])
+            edges.update(_spanning(reps[own], lambda i, s=sigs[own]: (s == s[i]).sum(1) >= MATCHES, left, to_first[own]))
         return _edge_table(sorted(edges)).to_batches()
 
     def run(batches: Iterator) -> Iterator:
