@@ -9,40 +9,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The catalog's columns; ``!`` is not null, ``=x`` the default of a missing value, ``*`` part of the key.
+#: The catalog's tables, their keys, and the values that missing ones take.
 TABLES = {
-    "assets": "asset_id*! dataset_id! kind! modality status!=active visibility!=global storage_backend!=file derivation_hash created_at! created_by created_by_job path_or_root description manifest_json provenance_json tags",
-    "asset_parents": "asset_id*! parent_asset_id*! relationship!=derived_from",
-    "asset_aliases": "dataset_id*! alias*! asset_id! updated_at!",
-    "asset_generations": "generation_id*! dataset_id! kind! derivation_hash! visibility!=private state!=PENDING owner_id! created_by_job expected_n:long completed_n:long=0 failed_n:long=0 published_asset_id spec_json error created_at! updated_at!",
-    "asset_items": "generation_id*! sample_id*! status!=pending claimed_by claimed_at artifact_relpath checksum error",
-    "sample_manifests": "dataset_id*! sample_id*! source_kind!=single_file manifest_json! content_hash created_at! updated_at!",
-    "content_fingerprints": "dataset_id*! sample_id*! file_path! fingerprint! content_hash file_size:long! file_mtime:double! computed_at!",
-    "resource_content_hashes": "resource_name*! content_hash! updated_at! source! bucket object_key",
+    "assets": "asset_id STRING NOT NULL, dataset_id STRING NOT NULL, kind STRING NOT NULL, modality STRING, status STRING NOT NULL, visibility STRING NOT NULL, storage_backend STRING NOT NULL, derivation_hash STRING, created_at STRING NOT NULL, created_by STRING, created_by_job STRING, path_or_root STRING, description STRING, manifest_json STRING, provenance_json STRING, tags STRING",
+    "asset_parents": "asset_id STRING NOT NULL, parent_asset_id STRING NOT NULL, relationship STRING NOT NULL",
+    "asset_aliases": "dataset_id STRING NOT NULL, alias STRING NOT NULL, asset_id STRING NOT NULL, updated_at STRING NOT NULL",
+    "asset_generations": "generation_id STRING NOT NULL, dataset_id STRING NOT NULL, kind STRING NOT NULL, derivation_hash STRING NOT NULL, visibility STRING NOT NULL, state STRING NOT NULL, owner_id STRING NOT NULL, created_by_job STRING, expected_n BIGINT, completed_n BIGINT, failed_n BIGINT, published_asset_id STRING, spec_json STRING, error STRING, created_at STRING NOT NULL, updated_at STRING NOT NULL",
+    "asset_items": "generation_id STRING NOT NULL, sample_id STRING NOT NULL, status STRING NOT NULL, claimed_by STRING, claimed_at STRING, artifact_relpath STRING, checksum STRING, error STRING",
+    "sample_manifests": "dataset_id STRING NOT NULL, sample_id STRING NOT NULL, source_kind STRING NOT NULL, manifest_json STRING NOT NULL, content_hash STRING, created_at STRING NOT NULL, updated_at STRING NOT NULL",
+    "content_fingerprints": "dataset_id STRING NOT NULL, sample_id STRING NOT NULL, file_path STRING NOT NULL, fingerprint STRING NOT NULL, content_hash STRING, file_size BIGINT NOT NULL, file_mtime DOUBLE NOT NULL, computed_at STRING NOT NULL",
+    "resource_content_hashes": "resource_name STRING NOT NULL, content_hash STRING NOT NULL, updated_at STRING NOT NULL, source STRING NOT NULL, bucket STRING, object_key STRING",
+}
+KEYS = {
+    "assets": ["asset_id"], "asset_parents": ["asset_id", "parent_asset_id"], "asset_aliases": ["dataset_id", "alias"], "asset_generations": ["generation_id"],
+    "asset_items": ["generation_id", "sample_id"], "sample_manifests": ["dataset_id", "sample_id"], "content_fingerprints": ["dataset_id", "sample_id"], "resource_content_hashes": ["resource_name"],
+}
+DEFAULTS = {
+    "assets": {"status": "active", "visibility": "global", "storage_backend": "file"},
+    "asset_parents": {"relationship": "derived_from"},
+    "asset_generations": {"visibility": "private", "state": "PENDING", "completed_n": 0, "failed_n": 0},
+    "asset_items": {"status": "pending"},
+    "sample_manifests": {"source_kind": "single_file"},
 }
 LIVE, OPEN_ITEMS = ("PENDING", "RUNNING"), ("pending", "claimed", "running")
 #: Which status an item takes from the state of its job.
 FROM_JOB = {"FINISHED": "completed", "PUBLISHED": "completed", "FAILED": "failed", "CANCELLED": "skipped", "PENDING": "running", "RUNNING": "running"}
 
 
-def _fields(table: str) -> list[tuple[str, str, bool, bool, str | None]]:
-    """(name, type, in the key, not null, default) of each column."""
-    out = []
-    for word in TABLES[table].split():
-        left, _, default = word.partition("=")
-        required, key = "!" in left, "*" in left
-        name, _, kind = left.replace("!", "").replace("*", "").partition(":")
-        out.append((name, kind or "string", key, required, default or None))
-    return out
-
-
 def schema(table: str) -> T.StructType:
-    kinds = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType()}
-    return T.StructType([T.StructField(n, kinds[k], not required) for n, k, _, required, _ in _fields(table)])
+    return T.StructType.fromDDL(TABLES[table])
 
 
 def keys(table: str) -> list[str]:
-    return [n for n, _, key, _, _ in _fields(table) if key]
+    return KEYS[table]
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
@@ -51,17 +50,18 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def conform(rows: DataFrame, table: str) -> DataFrame:
     """``rows`` with the table's columns in order: missing ones null, defaults filled in. A required value that is null fails the job."""
-    unknown = [c for c in rows.columns if c not in {f[0] for f in _fields(table)}]
+    fields, defaults = schema(table).fields, DEFAULTS.get(table, {})
+    unknown = [c for c in rows.columns if c not in {f.name for f in fields}]
     if unknown:
         raise ValueError(f"{table} has no columns {', '.join(unknown)}")
     out = []
-    for name, kind, _, required, default in _fields(table):
-        c = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
-        if default is not None:
-            c = F.coalesce(c, F.lit(default).cast(kind))
-        elif required:
-            c = F.coalesce(c, F.raise_error(F.lit(f"{table}.{name} must not be null")).cast(kind))
-        out.append(c.alias(name))
+    for f in fields:
+        c = F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+        if f.name in defaults:
+            c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
+        elif not f.nullable:
+            c = F.coalesce(c, F.raise_error(F.lit(f"{table}.{f.name} must not be null")).cast(f.dataType))
+        out.append(c.alias(f.name))
     return rows.select(*out)
 
 

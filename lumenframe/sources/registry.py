@@ -96,13 +96,18 @@ def backend(kind: str) -> str:
     return kind
 
 
+#: The names under which credentials give identity and secret, the region of a store without an endpoint, hosts that have none.
+IDENTITY, SECRET = ("identity", "identifier", "access_key", "username"), ("secret", "password", "secret_key")
+REGION, OWN_HOSTS = "us-east-1", ("minio", "host.docker")
+
+
 def s3_settings(config: dict, secrets: Callable[[str], dict] | None = None, environment: dict | None = None) -> dict[str, str]:
     """SRC-15: the Hadoop settings of an S3 store. Keys come from ``secrets(credentials_ref)``, else from the environment."""
     found = secrets(config["credentials_ref"]) if secrets and config.get("credentials_ref") else {}
     env = environment or {}
     pick = lambda names: next((found[n] for n in names if found.get(n)), None)
-    access = pick(("identity", "identifier", "access_key", "username")) or env.get("AWS_ACCESS_KEY_ID")
-    secret = pick(("secret", "password", "secret_key")) or env.get("AWS_SECRET_ACCESS_KEY")
+    access = pick(IDENTITY) or env.get("AWS_ACCESS_KEY_ID")
+    secret = pick(SECRET) or env.get("AWS_SECRET_ACCESS_KEY")
     if not access or not secret:
         raise PermissionError("no S3 credentials found")
     endpoint = config.get("endpoint")
@@ -118,10 +123,10 @@ def auto_region(endpoint: str | None, explicit: str | None = None) -> str:
     if explicit:
         return explicit
     if not endpoint:
-        return "us-east-1"
+        return REGION
     host = re.sub(r"^[a-z]+://", "", endpoint.lower()).split("/")[0].split(":")[0]
-    own = re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", host) or host.startswith(("minio", "host.docker")) or "." not in host or host.endswith(".local")
-    return "" if own else "us-east-1"
+    own = re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", host) or host.startswith(OWN_HOSTS) or "." not in host or host.endswith(".local")
+    return "" if own else REGION
 
 
 def uri_errors(uri, label: str) -> list[str]:
@@ -135,6 +140,13 @@ def uri_errors(uri, label: str) -> list[str]:
     return [f"{label}: '..' in {uri}"] if ".." in uri.split("/") else []
 
 
+def under_root_errors(path: str, root: str, label: str) -> list[str]:
+    """FLT-11: a path must lie below its root, as written and without ``..``."""
+    base = root.rstrip("/")
+    wrong = ".." in path.split("/") or not (path == base or path.startswith(base + "/"))
+    return [f"{label}: not below {root}: {path}"] if wrong else []
+
+
 def manifest_errors(manifest: dict) -> list[str]:
     """FLT-12: all that is wrong with a manifest; keys it does not know are left alone."""
     errors = [] if _version(manifest) >= 1 else ["schema_version: missing or below 1"]

@@ -85,6 +85,18 @@ def read_volumes(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInArrow(run, "sample_id string, z int, y int, x int, value double")
 
 
+def nifti_geometry(content: bytes) -> tuple[tuple[int, ...], tuple[float, ...]]:
+    """Size and spacing in (x, y, z) order, from the header alone: of a compressed file only the first bytes are inflated."""
+    import zlib
+
+    head = bytes(content[:352])
+    if head[:2] == b"\x1f\x8b":
+        head = zlib.decompressobj(31).decompress(bytes(content[:65536]), 352)
+    order = "<" if struct.unpack_from("<i", head)[0] == 348 else ">"
+    dim, pix = struct.unpack_from(order + "8h", head, 40), struct.unpack_from(order + "8f", head, 76)
+    return tuple(max(1, dim[i]) if i <= dim[0] else 1 for i in (1, 2, 3)), tuple(float(pix[i]) for i in (1, 2, 3))
+
+
 def read_geometry(spark: SparkSession, root: str) -> DataFrame:
     """(sample_id, path, nx, ny, nz, sx, sy, sz): sizes and spacings, without the voxels."""
 
@@ -94,8 +106,8 @@ def read_geometry(spark: SparkSession, root: str) -> DataFrame:
         for f in frames:
             rows = []
             for sample, path, content in f.itertuples(index=False):
-                voxels, spacing = decode_nifti(content)
-                rows.append((sample, path, *voxels.shape[::-1], *map(float, spacing)))
+                size, spacing = nifti_geometry(content)
+                rows.append((sample, path, *size, *spacing))
             yield pd.DataFrame(rows, columns=["sample_id", "path", "nx", "ny", "nz", "sx", "sy", "sz"])
 
     files = _files(spark, root, r"\.nii(\.gz)?$").select(S.sample_id(F.col("path")).alias("sample_id"), "path", "content")

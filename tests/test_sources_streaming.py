@@ -118,3 +118,10 @@ def test_expire_and_windows(spark):
     events = spark.createDataFrame([(t,), (t + dt.timedelta(minutes=1),), (t + dt.timedelta(minutes=30),)], "ts timestamp")
     assert sorted(r.n for r in E.sessions(events, "ts", "1 hour", "5 minutes").collect()) == [1, 2]
     assert sorted(r.n for r in E.windowed(events, "ts", "1 hour", "10 minutes", None).collect()) == [1, 2]
+
+
+def test_paths_below_their_root():
+    from lumenframe.sources.registry import under_root_errors
+
+    assert not under_root_errors("/d/a/b", "/d/a/", "x") and not under_root_errors("/d/a", "/d/a", "x")
+    assert under_root_errors("/d/ab", "/d/a", "x") and under_root_errors("/d/a/../c", "/d/a", "x")
