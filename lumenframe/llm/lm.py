@@ -53,14 +53,14 @@ class Tokens:
         self.train = np.repeat(~self.held_out, self.sizes)
         self.begins = np.zeros(len(self.word), bool)
         self.begins[self.first] = True
-        self.pair = self._after(self.word, START)
-        # no triple ends at the first place of a text
-        self.triple = self._after(self.pair, np.uint64(0))
+        self._keys, self._facts = {1: self.word}, {}
 
-    def _after(self, state: np.ndarray, start: np.uint64) -> np.ndarray:
-        before = np.concatenate(([start], state[:-1]))
-        before[self.begins] = start
-        return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(self.word))
+    def key(self, order: int) -> np.ndarray:
+        """The keys of the words, pairs or triples that end at each place; no triple ends at the first place of a text."""
+        if order not in self._keys:
+            before = self.shifted(self.key(order - 1), START if order == 2 else np.uint64(0))
+            self._keys[order] = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(self.word))
+        return self._keys[order]
 
     def shifted(self, values: np.ndarray, at_start) -> np.ndarray:
         """The value at the place before each, and ``at_start`` where a text begins."""
@@ -69,15 +69,24 @@ class Tokens:
         out[self.begins] = at_start
         return out
 
-    def keys(self, order: int, known: list[Known]) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of an order and which places ask for them, given the replies to the lower orders."""
+    def asked(self, order: int, known: list[Known]) -> np.ndarray:
+        """Which places ask for a key of the order, given the replies to the lower ones: those whose parts occur more than once."""
         if order == 1:
-            return self.word, np.ones(len(self.word), bool)
-        lower, _ = self.keys(order - 1, known)
-        _, found = known[order - 2].places(lower)
-        if order == 2:
-            return self.pair, found & self.shifted(found, True)
-        return self.triple, found & self.shifted(found, False)
+            return np.ones(len(self.word), bool)
+        found, _ = self.facts(order - 1, known)
+        return found & self.shifted(found, order == 2)
+
+    def facts(self, order: int, known: list[Known]) -> tuple[np.ndarray, np.ndarray]:
+        """Which places have a key of the order that occurs more than once, and the training counts of all."""
+        if order not in self._facts:
+            places = np.flatnonzero(self.asked(order, known))
+            at, hit = known[order - 1].places(self.key(order)[places])
+            found, count = np.zeros(len(self.word), bool), self.train.astype(np.int64)  # what is not known of occurs here alone
+            found[places] = hit
+            if hit.any():
+                count[places[hit]] = known[order - 1].columns[1][at[hit]]
+            self._facts[order] = found, count
+        return self._facts[order]
 
 
 def _asks(order: int):
@@ -86,8 +95,8 @@ def _asks(order: int):
         parts = []
         for body in row["frames"]:
             t = Tokens(body)
-            keys, asked = t.keys(order, known)
-            keys, train = keys[asked], t.train[asked].astype(np.int32)
+            asked = t.asked(order, known)
+            keys, train = t.key(order)[asked], t.train[asked].astype(np.int32)
             if order == 1:
                 keys = np.concatenate((keys, np.full(len(t.ids), START)))
                 train = np.concatenate((train, ~t.held_out)).astype(np.int32)
@@ -119,12 +128,7 @@ class Automaton:
 
     def counts(self, t: Tokens, known: list[Known]) -> tuple[list[np.ndarray], int]:
         """Training counts of the word, pair and triple that end at each place, and how many training texts there are."""
-        out = []
-        for order in (1, 2, 3):
-            keys, asked = t.keys(order, known)
-            c = t.train.astype(np.int64)  # what is not known of occurs here alone
-            c[asked] = known[order - 1].of(keys[asked], c[asked])
-            out.append(c)
+        out = [t.facts(order, known)[1] for order in (1, 2, 3)]
         out[2][t.begins] = 0
         start = known[0].of(np.array([START]), np.array([np.count_nonzero(~t.held_out)], np.int64))
         return out, int(start[0])
@@ -163,9 +167,8 @@ def score(docs: DataFrame, smooth: tuple[float, float] = (50.0, 5.0), text: str
     replies = [staged(answer(ask(blocks, _asks(1), buckets), _counts, buckets, 2), "lm-words", "uncompressed")]
     n, v = replies[0].where("block is null").agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
     machine = Automaton(int(n), int(v), smooth)
-    for order, name in ((2, "lm-pairs"), (3, "lm-triples")):
-        found = answer(ask(meet(blocks, *replies), _asks(order), buckets), _counts, buckets)
-        replies.append(staged(found, name, "uncompressed") if order == 2 else found)
+    for order in (2, 3):  # one plan from here: the replies' exchange to the blocks is made once and used again
+        replies.append(answer(ask(meet(blocks, *replies), _asks(order), buckets), _counts, buckets))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
