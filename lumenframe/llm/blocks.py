@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import partitions_for, staged_by, tidy
 
 #: Bytes of text in a frame, which a task opens at once; a longer document is a frame of its own.
-FRAME_BYTES = 4 << 20
-#: Bytes of text in a block and, on average, behind a key bucket.
-BLOCK_BYTES = BUCKET_BYTES = 32 << 20
+FRAME_BYTES = 1 << 20
+#: Bytes of text in a block. A block and the replies to it are one row, which both sides of the exchange with Python hold more than once.
+BLOCK_BYTES = 8 << 20
+#: Bytes of text behind a key bucket on average.
+BUCKET_BYTES = 32 << 20
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 #: Odd multipliers of the polynomial hashes modulo 2**64.
