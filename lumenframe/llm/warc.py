@@ -34,11 +34,12 @@ RANGE_ROWS, SAMPLE = 20_000, 16
 EPOCH, LAST = 1_700_000_000, 251_000_000_000
 #: Parts of a payload's pages, and bytes of payload in an archive on average.
 PARTS, FILE_BYTES = 32, 128 << 20
+#: Bytes of a record without payload and url, about.
+HEAD_BYTES = 450
 
 
-def base32_sha1(data: Column) -> Column:
-    """The SHA-1 of a value as 32 base-32 letters, in built-in functions."""
-    hexed = F.sha1(data)
+def base32(hexed: Column) -> Column:
+    """40 hex digits as 32 base-32 letters, in built-in functions."""
     letters = []
     for i in range(8):  # 5 hex digits are 20 bits are 4 letters
         n = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
@@ -51,17 +52,33 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n, s in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, ">")) for x in (F.substring(h, a, n), F.lit(s))])
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One WARC record for each page, without the blank lines at its end."""
+def _payload(pages: DataFrame) -> DataFrame:
+    """The pages with null payloads as empty ones, and the SHA-1 and bytes of each."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("size", F.octet_length("html").cast("long"))
+    return pages.select("page_id", "url", html.alias("html")).withColumn("sha", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html").cast("long"))
+
+
+def revisits(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, float]:
+    """(page_id, sha, first, size) of the records that refer to another, and the mean bytes of a record.
+
+    Payloads are hashed once here; what is compared, joined and summed are the hashes.
+    """
+    known = staged(_payload(pages).select("page_id", "sha", "size", F.coalesce(F.octet_length("url"), F.lit(0)).alias("more")), "warc-payloads")
     # payloads that stand more than once: counts are summed before they are exchanged
-    firsts = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # only (digest, page_id) meets them, in parts of a digest, so that a payload of a third of all pages is no hot key; pages are joined by id
+    firsts = known.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # only (sha, page_id) meets them, in parts of a hash, so that a payload of a third of all pages is no hot key; pages are joined by id
     part = F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int").alias("_part")
     copies = firsts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    later = rows.select("digest", "size", "page_id", part).join(copies, ["digest", "size", "_part"]).where("first < page_id").select("page_id", "digest", "first").distinct()
-    rows = rows.join(later, ["page_id", "digest"], "left")
+    later = known.select("sha", "size", "page_id", part).join(copies, ["sha", "size", "_part"]).where("first < page_id").select("page_id", "sha", "first", "size").distinct()
+    later = staged(later, "warc-revisits")
+    n, total = known.agg(F.count("*"), F.coalesce(F.sum(F.col("size") + F.col("more")), F.lit(0))).first()
+    left_out = later.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return later, HEAD_BYTES + (max(0, total - left_out) / n if n else 0)
+
+
+def records(pages: DataFrame, later: DataFrame) -> DataFrame:
+    """One WARC record for each page, without the blank lines at its end; ``later``: the ``revisits``."""
+    rows = _payload(pages).join(later.select("page_id", "sha", "first"), ["page_id", "sha"], "left").withColumn("digest", base32(F.hex("sha")))
     # a record refers only to a smaller page_id
     revisit = F.col("first").isNotNull()
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -81,15 +98,15 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("X-Page-Id", F.col("page_id").cast("string"))),
         refers,
         line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
+        line("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))).cast("string")),
     )
     return rows.select(F.concat(head, F.lit("\r\n"), block).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Archives of about ``file_bytes`` before compression; ``offset`` counts in what is inflated, as a file is one gzip member."""
-    out = records(pages, min_bytes)
-    mean = out.agg(F.avg(F.octet_length("value"))).first()[0] or 1.0
+    later, mean = revisits(pages, min_bytes)
+    out = records(pages, later)
     out.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
 
 
