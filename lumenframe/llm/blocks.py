@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, staged_by, tidy
+from .common import FORGET, partitions_for, staged_by, tidy
 
 #: Bytes of text in a frame, which a task opens at once; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 20
@@ -83,6 +83,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+FORGET.append(_POWERS.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

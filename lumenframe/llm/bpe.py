@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import FORGET, tidy
 
 #: Entries of the memos in one Python worker, and the longest piece (in characters) that is kept.
 MEMO, LONGEST = 250_000, 256
@@ -247,6 +247,9 @@ def bpe(path: str, pattern: str) -> Bpe:
     return Bpe(load_ranks(path), pattern)
 
 
+FORGET.append(bpe.cache_clear)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

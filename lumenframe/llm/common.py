@@ -75,12 +75,18 @@ def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: What empties the tables that modules keep in a worker.
+FORGET: list[Callable[[], object]] = []
+
+
 def release() -> None:
-    """Gives memory that a worker no longer uses back to the system; workers stay alive between tasks."""
+    """Gives memory that a worker no longer uses back to the system; workers stay alive between tasks and operators."""
     import ctypes
 
     import pyarrow as pa
 
+    for forget in FORGET:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -26,3 +26,22 @@ def test_windows_over_blocks_of_bounded_size(long_texts, monkeypatch):
     rows = seen[0].collect()
     assert len(rows) > 1 and max(r.n_bytes for r in rows) <= 8 << 20
     assert max(sum(map(len, blocks.open_block(f)[1])) for r in rows for f in r.frames) <= 1 << 20
+
+
+def test_workers_keep_no_tables_between_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from lumenframe.llm import bpe, common
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            blocks.powers(blocks.BASE_WORD, len(b))
+            bpe.bpe(*vocabulary)
+            yield pa.RecordBatch.from_pylist([{"n": 0}])
+        common.release()
+        yield pa.RecordBatch.from_pylist([{"n": len(blocks._POWERS) + bpe.bpe.cache_info().currsize}])
+
+    vocabulary = bpe.default_vocabulary()
+    assert spark.range(1).mapInArrow(kept, "n long").agg(F.sum("n")).first()[0] == 0
