@@ -63,6 +63,18 @@ def signatures(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _low(sigs: np.ndarray) -> np.ndarray:
+    """Four bits of each value of the signatures, two values in a byte: what agrees in whole values agrees here too."""
+    bits = (sigs & np.uint32(15)).astype(np.uint8)
+    return np.ascontiguousarray(bits[:, ::2] | bits[:, 1::2] << np.uint8(4))
+
+
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates rows of ``_low`` agree."""
+    x = a ^ b
+    return ((x & np.uint8(15)) == 0).sum(1) + (x < 16).sum(1)
+
+
 def _signed(blocks: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -139,7 +151,7 @@ def _posting_rows(keys, n, reps, pos, depth, asking, low, pairs):
 def _postings(rep_blocks: DataFrame) -> DataFrame:
     """Each class under those of its globally rarest pairs that another class shares.
 
-    ``n``: classes that hold the pair; ``low``: the signature in single bytes; ``pairs``: for a list that may be long, all the
+    ``n``: classes that hold the pair; ``low``: the signature in four bits a value; ``pairs``: for a list that may be long, all the
     class's shared pairs from the rarest on.
     """
     buckets = 4 * partitions_for(rep_blocks.sparkSession)
@@ -155,7 +167,7 @@ def _postings(rep_blocks: DataFrame) -> DataFrame:
             shared = n > 1
             able = np.flatnonzero(shared.sum(1) >= MATCHES)
             order = np.lexsort((keys[able], np.where(shared[able], n[able], 2**62)), axis=1)
-            low = np.ascontiguousarray(sigs.astype(np.uint8))
+            low = _low(sigs)
             rows = np.repeat(able, PREFIX)
             pos = np.tile(np.arange(PREFIX, dtype=np.int32), len(able))
             at = order[:, :PREFIX].ravel()
@@ -209,7 +221,7 @@ def _short_lists(lists: DataFrame) -> DataFrame:
     def edges_of(keys: np.ndarray, reps: np.ndarray, asking: np.ndarray, sigs: np.ndarray):
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         group = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(keys)]))))
-        to_first = np.concatenate([(sigs[a : a + 65_536] == sigs[starts[group[a : a + 65_536]]]).sum(1) >= MATCHES for a in range(0, len(keys), 65_536)])
+        to_first = np.concatenate([_agreements(sigs[a : a + 65_536], sigs[starts[group[a : a + 65_536]]]) >= MATCHES for a in range(0, len(keys), 65_536)])
         hit = to_first.copy()
         hit[starts] = False
         edges = set(zip(reps[hit].tolist(), reps[starts[group[hit]]].tolist(), strict=True))
@@ -218,7 +230,7 @@ def _short_lists(lists: DataFrame) -> DataFrame:
             own = slice(starts[g], starts[g] + sizes[g])
             # those who agree with the first are joined by it; the others are counted against all
             left = np.flatnonzero(asking[own] & ~to_first[own])
-            edges.update(_spanning(reps[own], lambda i, s=sigs[own]: (s == s[i]).sum(1) >= MATCHES, left, to_first[own]))
+            edges.update(_spanning(reps[own], lambda i, s=sigs[own]: _agreements(s, s[i]) >= MATCHES, left, to_first[own]))
         return _edge_table(sorted(edges)).to_batches()
 
     def run(batches: Iterator) -> Iterator:
@@ -226,7 +238,7 @@ def _short_lists(lists: DataFrame) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), _bytes_of(b.column(3), COORDINATES)]
+            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), _bytes_of(b.column(3), COORDINATES // 2)]
             if kept:
                 now = [np.concatenate(c) for c in zip(kept, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
@@ -281,7 +293,7 @@ def _against_head(batches: Iterator) -> Iterator:
 
     for b in batches:
         head = b.column("head").flatten()
-        asking = (_bytes_of(b.column("low"), COORDINATES) == _bytes_of(head[1], COORDINATES)).sum(1) < MATCHES
+        asking = _agreements(_bytes_of(b.column("low"), COORDINATES // 2), _bytes_of(head[1], COORDINATES // 2)) < MATCHES
         named = {"n": b.column("m"), "asking": pa.array(asking)}
         yield pa.RecordBatch.from_arrays([*[named.get(x, b.column(x)) for x in FIELDS], head[0]], names=[*FIELDS, "head"])
 
