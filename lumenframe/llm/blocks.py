@@ -232,6 +232,19 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
+def least_of(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The smallest key of each bucket."""
+    wide = bucket.astype(np.uint64) << np.uint64(32)
+    return (wide + np.uint64(buckets - 1)) // np.uint64(buckets) << np.uint64(32)
+
+
+def spare_bits(keys: np.ndarray) -> int:
+    """How many low bits the sorted distinct keys can lose and still differ."""
+    if len(keys) < 2:
+        return 0
+    return max(0, int((keys[1:] ^ keys[:-1]).min()).bit_length() - 1)
+
+
 def distinct(columns: list[np.ndarray], *how: np.ufunc) -> list[np.ndarray]:
     """The distinct values of the first column, sorted, and the others put together by ``how`` for each."""
     keys = columns[0]
@@ -266,10 +279,11 @@ def ask(blocks: DataFrame, fn: Callable, buckets: int) -> DataFrame:
     return blocks.mapInArrow(tidy(run), "bucket int, block long, keys binary")
 
 
-def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0) -> DataFrame:
+def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0, short: bool = False) -> DataFrame:
     """``fn(parts)`` gets the arrays of each asking block and returns those of each reply, keys first, and sums.
 
-    Each bucket is a partition of its own. The rows with a null block carry the buckets' sums.
+    Each bucket is a partition of its own. The rows with a null block carry the buckets' sums. ``short``: keys lose the low bits
+    by which no two keys that the block asked for differ; it may then look up no other keys, and opens them by ``Known(.., buckets)``.
     """
     names = [f"s{i}" for i in range(sums)]
 
@@ -279,7 +293,13 @@ def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0) -> DataF
         kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), *[(x, pa.float64()) for x in names]])
 
         def reply(bucket: int, blocks: list[int], blobs: list[bytes]):
-            replies, totals = fn([unpack_keys(x) for x in blobs])
+            parts = [unpack_keys(x) for x in blobs]
+            replies, totals = fn(parts)
+            if short:
+                least = least_of(np.array([bucket]), buckets)[0]
+                for i, (p, (keys, *more)) in enumerate(zip(parts, replies, strict=True)):
+                    spare = np.uint64(spare_bits(p[0] - least))
+                    replies[i] = [keys - least >> spare, np.array([spare]), *more] if len(keys) else [keys]
             rows = [{"block": k, "bucket": bucket, "answer": pack_keys(*p)} for k, p in zip(blocks, replies, strict=True) if len(p[0])]
             if sums:
                 rows.append({"block": None, "bucket": bucket, "answer": None} | dict(zip(names, map(float, totals), strict=True)))
@@ -310,10 +330,18 @@ def meet(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
 
 
 class Known:
-    """The replies to a block: sorted keys and what is known of each."""
-
-    def __init__(self, replies: list[dict] | None):
-        parts = [unpack_keys(r["answer"]) for r in sorted(replies or [], key=lambda r: r["bucket"])]
+    """The replies to a block: sorted keys and what is known of each; ``buckets``: their number, if the replies' keys are short."""
+
+    def __init__(self, replies: list[dict] | None, buckets: int | None = None):
+        self.buckets, replies = buckets, sorted(replies or [], key=lambda r: r["bucket"])
+        parts = [unpack_keys(r["answer"]) for r in replies]
+        if buckets:
+            numbers = np.array([r["bucket"] for r in replies], np.int64)
+            self.spare, self.least = np.zeros(buckets, np.uint64), least_of(np.arange(buckets), buckets)
+            for i, n in enumerate(numbers.tolist()):
+                keys, spare, *more = parts[i]
+                self.spare[n] = spare[0]
+                parts[i] = [(keys << spare[0]) + self.least[n], *more]
         self.columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0, np.uint64)]
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,6 +349,10 @@ class Known:
         mine = self.columns[0]
         if not len(mine):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        if self.buckets:  # a short key stays in its bucket's range
+            bucket = bucket_of(keys, self.buckets)
+            least, spare = self.least[bucket], self.spare[bucket]
+            keys = (keys - least >> spare << spare) + least
         at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
         return at, mine[at] == keys
 

@@ -11,7 +11,8 @@ walk from left to right is taken for all places of a frame at once: each place f
 Counts come through the exchange of ``blocks``: each block asks for the words, pairs and triples that it holds and gets those of
 their counts over the corpus that are not plain, so the automaton that a task holds is as large as its block, never as large as
 the corpus. Replies leave out what occurs once in the whole corpus (its count is 1 in a training text, else 0), and a pair or
-triple with such a part is not asked for, as it occurs once too. Nothing is cut off by its count.
+triple with such a part is not asked for, as it occurs once too. Nothing is cut off by its count. A reply names a key by as many
+bits as tell it from the others that its block asked for.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as the empty text in the fold; repeated rows
 count as often as they stand; without training documents N and V are 0; extra columns are ignored by the query.
@@ -89,9 +90,9 @@ class Tokens:
         return self._facts[order]
 
 
-def _asks(order: int):
+def _asks(order: int, buckets: int):
     def fn(row: dict):
-        known = [Known(row[f"a{k}"]) for k in range(order - 1)]
+        known = [Known(row[f"a{k}"], buckets) for k in range(order - 1)]
         parts = []
         for body in row["frames"]:
             t = Tokens(body)
@@ -164,17 +165,17 @@ def score(docs: DataFrame, smooth: tuple[float, float] = (50.0, 5.0), text: str
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each document."""
     blocks = pack(docs, "lm-blocks", text, doc_id, block_bytes=BLOCK)
     buckets = bucket_count(blocks)
-    replies = [staged(answer(ask(blocks, _asks(1), buckets), _counts, buckets, 2), "lm-words", "uncompressed")]
+    replies = [staged(answer(ask(blocks, _asks(1, buckets), buckets), _counts, buckets, 2, short=True), "lm-words", "uncompressed")]
     n, v = replies[0].where("block is null").agg(F.coalesce(F.sum("s0"), F.lit(0.0)), F.coalesce(F.sum("s1"), F.lit(0.0))).first()
     machine = Automaton(int(n), int(v), smooth)
     for order in (2, 3):  # one plan from here: the replies' exchange to the blocks is made once and used again
-        replies.append(answer(ask(meet(blocks, *replies), _asks(order), buckets), _counts, buckets))
+        replies.append(answer(ask(meet(blocks, *replies), _asks(order, buckets), buckets), _counts, buckets, short=True))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for row in rows_of(batches):
-            known = [Known(row[f"a{k}"]) for k in range(3)]
+            known = [Known(row[f"a{k}"], buckets) for k in range(3)]
             for body in row["frames"]:
                 t = Tokens(body)
                 counts, starts = machine.counts(t, known)

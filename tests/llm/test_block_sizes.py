@@ -28,6 +28,24 @@ def test_windows_over_blocks_of_bounded_size(long_texts, monkeypatch):
     assert max(sum(map(len, blocks.open_block(f)[1])) for r in rows for f in r.frames) <= 1 << 20
 
 
+def test_short_keys_of_replies_are_exact(spark):
+    """Each block finds those of its keys that another holds too, and no others, by replies of fewer bytes."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.concatenate((rng.integers(0, 2**64, 5000, np.uint64), np.arange(9, dtype=np.uint64) + np.uint64(k % 2)))) for k in range(3)]
+    rows[1] = np.unique(np.concatenate((rows[1], rows[0][::2])))
+    asked = spark.createDataFrame([(k,) for k in range(3)], "block long")
+    both = lambda parts: ([[p[0][np.isin(p[0], np.concatenate([q[0] for q in parts if q is not p]))]] for p in parts], [])
+    size = {}
+    for short in (False, True):
+        replies = blocks.meet(asked, blocks.answer(blocks.ask(asked, lambda r: [rows[r["block"]]], 5), both, 5, short=short)).collect()
+        size[short] = sum(len(a.answer) for r in replies for a in r.a0)
+        for r in replies:
+            mine = rows[r.block]
+            _, found = blocks.Known([a.asDict() for a in r.a0], 5 if short else None).places(mine)
+            assert (found == np.isin(mine, np.concatenate([x for k, x in enumerate(rows) if k != r.block]))).all()
+    assert size[True] < 0.75 * size[False]
+
+
 def test_workers_keep_no_tables_between_tasks(spark):
     from pyspark.sql import functions as F
 
