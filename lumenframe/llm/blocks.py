@@ -28,8 +28,10 @@ FRAME_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 #: Bytes of text behind a key bucket on average.
 BUCKET_BYTES = 32 << 20
-#: Bytes hashed at once.
-CHUNK = 1 << 20
+#: Bytes hashed at once; each takes 50 bytes of numbers meanwhile.
+CHUNK = 1 << 18
+#: Rows of documents that are made Python objects at once.
+SLICE = 256
 #: Odd multipliers of the polynomial hashes modulo 2**64.
 BASE_BYTE, BASE_WORD, BASE_WORD_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Stands for a null doc_id: larger than any other.
@@ -90,7 +92,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of ``base`` and of its inverse, modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        m = max(n, CHUNK + 4096)
+        m = max(1 << 16, 1 << (n - 1).bit_length())
         up, down = np.full(m, base, np.uint64), np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = _POWERS[base] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id",
         def block():
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([frames], pa.list_(pa.binary()))], names=["block", "n_bytes", "n_docs", "frames"])
 
-        for b in batches:
+        for b in slices(batches):
             more = b.column("extra").cast(pa.binary()).to_pylist() if extra else [None] * len(b)
             for i, t, x in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), more, strict=True):
                 t = b"" if t is None else t
@@ -205,6 +207,13 @@ def open_block(body: bytes) -> tuple[np.ndarray, list[bytes]]:
     return open_parts(body)[:2]
 
 
+def slices(batches: Iterator) -> Iterator:
+    """Arrow batches in slices of ``SLICE`` rows."""
+    for b in batches:
+        for at in range(0, len(b), SLICE):
+            yield b.slice(at, SLICE)
+
+
 def rows_of(batches: Iterator) -> Iterator[dict]:
     """The rows of Arrow batches, one at a time."""
     for b in batches:
@@ -274,13 +283,14 @@ def ask(blocks: DataFrame, fn: Callable, buckets: int) -> DataFrame:
             numbers, starts = np.unique(bucket_of(keys, buckets), return_index=True)
             cuts = [*starts.tolist(), len(keys)]
             blobs = [pack_keys(keys[a:z], *[m[a:z] for m in more]) for a, z in zip(cuts, cuts[1:], strict=False)]
+            del keys, more
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([row["block"]] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
 
     return blocks.mapInArrow(tidy(run), "bucket int, block long, keys binary")
 
 
 def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0, short: bool = False) -> DataFrame:
-    """``fn(parts)`` gets the arrays of each asking block and returns those of each reply, keys first, and sums.
+    """``fn(parts)`` gets the arrays of each asking block, which it may empty, and returns those of each reply, keys first, and sums.
 
     Each bucket is a partition of its own. The rows with a null block carry the buckets' sums. ``short``: keys lose the low bits
     by which no two keys that the block asked for differ; it may then look up no other keys, and opens them by ``Known(.., buckets)``.
@@ -292,29 +302,28 @@ def answer(asked: DataFrame, fn: Callable, buckets: int, sums: int = 0, short: b
 
         kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary()), *[(x, pa.float64()) for x in names]])
 
-        def reply(bucket: int, blocks: list[int], blobs: list[bytes]):
-            parts = [unpack_keys(x) for x in blobs]
+        def reply(bucket: int, blocks: list[int], parts: list[list[np.ndarray]]):
+            least = least_of(np.array([bucket]), buckets)[0]
+            spares = [np.uint64(spare_bits(p[0] - least)) for p in parts] if short else []
             replies, totals = fn(parts)
-            if short:
-                least = least_of(np.array([bucket]), buckets)[0]
-                for i, (p, (keys, *more)) in enumerate(zip(parts, replies, strict=True)):
-                    spare = np.uint64(spare_bits(p[0] - least))
-                    replies[i] = [keys - least >> spare, np.array([spare]), *more] if len(keys) else [keys]
+            for i, spare in enumerate(spares):
+                keys, *more = replies[i]
+                replies[i] = [keys - least >> spare, np.array([spare]), *more] if len(keys) else [keys]
             rows = [{"block": k, "bucket": bucket, "answer": pack_keys(*p)} for k, p in zip(blocks, replies, strict=True) if len(p[0])]
             if sums:
                 rows.append({"block": None, "bucket": bucket, "answer": None} | dict(zip(names, map(float, totals), strict=True)))
             return pa.RecordBatch.from_pylist([dict.fromkeys(kinds.names) | r for r in rows], kinds)
 
-        now, blocks, blobs = None, [], []
+        now, blocks, parts = None, [], []
         for row in rows_of(batches):
             if row["bucket"] != now and blocks:
-                yield reply(now, blocks, blobs)
-                blocks, blobs = [], []
+                yield reply(now, blocks, parts)
+                blocks, parts = [], []
             now = row["bucket"]
             blocks.append(row["block"])
-            blobs.append(row["keys"])
+            parts.append(unpack_keys(row["keys"]))
         if blocks:
-            yield reply(now, blocks, blobs)
+            yield reply(now, blocks, parts)
 
     schema = "block long, bucket int, answer binary" + "".join(f", {x} double" for x in names)
     return asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(run), schema)

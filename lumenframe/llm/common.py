@@ -96,10 +96,20 @@ def release() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for one partition; what it has used is released at the end."""
+    """``run`` for one partition; what it has used is released at the end.
+
+    An empty batch comes last, so that the last of ``run``'s, which may hold all of its input's, is let go of before that.
+    """
 
     def whole(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        import pyarrow as pa
+
+        made = None
+        for made in run(batches):
+            yield made
+        if made is not None:
+            made = pa.RecordBatch.from_pylist([], made.schema)
+            yield made
         release()
 
     return whole

@@ -111,31 +111,51 @@ def _least(whole: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return whole[order[starts]], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
 
 
-def _split(parts: list[list[np.ndarray]], columns: list[np.ndarray], keep: np.ndarray) -> list[list[np.ndarray]]:
-    """For each part those of its entries that are kept."""
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return [[c[z - len(p[0]) : z][keep[z - len(p[0]) : z]] for c in columns] for p, z in zip(parts, ends.tolist(), strict=True)]
+def _columns(parts: list[list[np.ndarray]]) -> tuple[list[int], list[np.ndarray]]:
+    """How many entries each part has, and the parts' columns put together; ``parts`` are emptied meanwhile, as a bucket's are large."""
+    sizes, columns = [len(p[0]) for p in parts], []
+    for i in range(len(parts[0])):
+        columns.append(np.concatenate([p[i] for p in parts]))
+        for p in parts:
+            p[i] = None
+    parts.clear()
+    return sizes, columns
+
+
+def _split(sizes: list[int], columns: list[np.ndarray], keep: np.ndarray) -> list[list[np.ndarray]]:
+    """For each part, of so many entries, those that are kept."""
+    ends = np.cumsum(sizes)
+    return [[c[z - n : z][keep[z - n : z]] for c in columns] for n, z in zip(sizes, ends.tolist(), strict=True)]
 
 
 def _shared(parts: list[list[np.ndarray]]):
     """For each block those of its keys that several ids hold; a block sends (keys, smallest id, largest id)."""
-    keys, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-    every, least, most = distinct([keys, low, high], np.minimum, np.maximum)
-    keep = (least != most)[np.searchsorted(every, keys)]
-    return _split(parts, [keys], keep), []
+    sizes, (keys, low, high) = _columns(parts)
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    ours = keys[order]
+    new[1:] = ours[1:] != ours[:-1]
+    del ours
+    starts = np.flatnonzero(new)
+    several = np.minimum.reduceat(low[order], starts) != np.maximum.reduceat(high[order], starts)
+    del low, high
+    keep = np.empty(len(keys), bool)
+    keep[order] = np.repeat(several, np.diff(starts, append=len(keys)))
+    return _split(sizes, [keys], keep), []
 
 
 def _smallest(parts: list[list[np.ndarray]]):
     """For each block the smallest id of those of its windows that several ids hold; a block sends (keys, 32 more bits, smallest id, largest id)."""
-    whole = np.empty(sum(len(p[0]) for p in parts), WHOLE)
-    whole["key"], whole["more"] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    low, high = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+    lengths, (keys, more, low, high) = _columns(parts)
+    whole = np.empty(len(keys), WHOLE)
+    whole["key"], whole["more"] = keys, more
+    del keys, more
     order, starts = _runs(whole)
-    sizes = np.diff(np.concatenate((starts, [len(whole)])))
+    sizes = np.diff(starts, append=len(whole))
     least, most = np.empty(len(whole), np.int64), np.empty(len(whole), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[order], starts), sizes)
     most[order] = np.repeat(np.maximum.reduceat(high[order], starts), sizes)
-    return _split(parts, [whole["key"], whole["more"], least], least != most), []
+    return _split(lengths, [whole["key"], whole["more"], least], least != most), []
 
 
 def repeated(blocks: DataFrame, buckets: int, size: int = SIZE) -> tuple[DataFrame, callable]:
@@ -144,18 +164,18 @@ def repeated(blocks: DataFrame, buckets: int, size: int = SIZE) -> tuple[DataFra
     last = len(steps) - 1
 
     def asks(n: int):
+        def part(body: bytes, known: list[Known]) -> list[np.ndarray]:  # a frame's words and windows are gone before the next is opened
+            w = Windows(body, size)
+            alive, at = w.candidates(steps, known)
+            ids = w.id[alive]
+            if n == last:
+                return _least(w.full(at), ids, ids)
+            new = np.concatenate(([True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1]))) if len(at) else np.zeros(0, bool)
+            return distinct([w.grams(at[new], steps[n]), ids[new], ids[new]], np.minimum, np.maximum)
+
         def fn(row: dict):
             known = [Known(row[f"a{k}"]) for k in range(n)]
-            parts = []
-            for body in row["frames"]:
-                w = Windows(body, size)
-                alive, at = w.candidates(steps, known)
-                ids = w.id[alive]
-                if n == last:
-                    parts.append(_least(w.full(at), ids, ids))
-                else:
-                    new = np.concatenate(([True], (at[1:] != at[:-1]) | (ids[1:] != ids[:-1]))) if len(at) else np.zeros(0, bool)
-                    parts.append(distinct([w.grams(at[new], steps[n]), ids[new], ids[new]], np.minimum, np.maximum))
+            parts = [part(body, known) for body in row["frames"]]
             if n < last:
                 return merged(parts, np.minimum, np.maximum)
             whole, low, high = _least(*[np.concatenate(c) for c in zip(*parts, strict=True)])
