@@ -67,10 +67,13 @@ def requeue_orphans(items: DataFrame, generations: DataFrame, jobs: DataFrame, m
     """JN-19: running items without an active job are pending again, with a note, and their generations RUNNING."""
     on = ["generation_id", "sample_id"]
     active = jobs.where(F.col("job_state").isin(*ACTIVE_JOBS)).select(*on).distinct()
-    lost = items.where("status = 'running'").select(*on).join(active, on, "left_anti").withColumn("_lost", F.lit(True))
-    out = items.join(lost, on, "left")
+    # each row by its own status: rows of one item may differ in it
+    running = F.col("status").eqNullSafe("running")
+    lost = items.where(running).select(*on).join(active, on, "left_anti")
+    seen = items.where(running).join(active.withColumn("_held", F.lit(True)), on, "left")
     new = {"status": F.lit("pending"), "error": F.lit(message)}
-    back = out.select(*[F.when(F.col("_lost"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns])
+    seen = seen.select(*[F.when(F.col("_held").isNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in items.columns])
+    back = items.where(~running).unionByName(seen)
     touched = lost.select("generation_id").distinct().withColumn("_lost", F.lit(True))
     state = F.when(F.col("_lost"), "RUNNING").otherwise(F.col("state")).alias("state")
     return back, generations.join(touched, "generation_id", "left").select(*[state if c == "state" else F.col(c) for c in generations.columns])

@@ -173,6 +173,16 @@ def test_publish_decisions(spark):
     assert {r.generation_id: (r.decision, r.failed_pct) for r in P.publish_decisions(rows, allow_partial=True).collect()}["d"] == ("publish", 10.0)
 
 
+def test_requeue_takes_each_row_by_its_own_status(spark):
+    items = spark.createDataFrame([(1, "a", "running", None), (1, "a", "running", None), (1, "a", "completed", None), (1, "b", "running", "slow"), (1, "b", "failed", "bad"), (2, None, "running", None), (3, "c", None, None)], "generation_id int, sample_id string, status string, error string")
+    jobs = spark.createDataFrame([(1, "a", "FAILED"), (1, "b", "RUNNING"), (1, "b", "RUNNING")], "generation_id int, sample_id string, job_state string")
+    generations = spark.createDataFrame([(1, "PARTIAL"), (2, "PARTIAL"), (3, "PARTIAL")], "generation_id int, state string")
+    back, states = P.requeue_orphans(items, generations, jobs)
+    want = [(1, "a", "pending", "job is gone")] * 2 + [(1, "a", "completed", None), (1, "b", "running", "slow"), (1, "b", "failed", "bad"), (2, None, "pending", "job is gone"), (3, "c", None, None)]
+    assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(map(str, want))
+    assert {tuple(r) for r in states.collect()} == {(1, "RUNNING"), (2, "RUNNING"), (3, "PARTIAL")}
+
+
 def test_cancel_needs_the_key(spark):
     g = spark.createDataFrame([("a", "ACTIVE"), ("b", "RUNNING")], "generation_id string, state string")
     i = spark.createDataFrame([("a", "1", "running"), ("b", "1", "running"), ("b", "2", "completed")], "generation_id string, sample_id string, status string")
