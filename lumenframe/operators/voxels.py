@@ -34,24 +34,83 @@ def _neighbours(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFra
     return mask.select("sample_id", near).select("sample_id", *[f"near.{a}" for a in AXES])
 
 
+def _widths(radius: Radius) -> dict[tuple[int, int], int]:
+    """How far the ball reaches along x from its middle, by (dz, dy)."""
+    out: dict[tuple[int, int], int] = {}
+    for dz, dy, dx in ball(radius):
+        out[dz, dy] = max(out.get((dz, dy), 0), dx)
+    return out
+
+
+def _words(mask: DataFrame, margin: int) -> DataFrame:
+    """(sample_id, z, y, _w, _b): 64 voxels of a line of x as bits, ``margin`` of them at each end shared with the next words; x of null has a word of null."""
+    n = 64 - 2 * margin
+    x = F.col("x").cast("long") + n // 2  # a narrow grid from 0 on lies in one word
+    word = lambda at: F.call_function("div", at - F.pmod(at, F.lit(n)), F.lit(n))
+    rows = mask.select("sample_id", "z", "y", x.alias("x"), F.explode_outer(F.sequence(word(x - margin), word(x + margin))).alias("_w"))
+    bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x") - F.col("_w") * n + margin).cast("int")), F.lit(-1).cast("long"))
+    return rows.groupBy("sample_id", "z", "y", "_w").agg(F.bit_or(bit).alias("_b"))
+
+
+def _moved(words: DataFrame, radius: Radius, every: bool) -> DataFrame:
+    """The words after a dilation, or with ``every`` an erosion; the outermost bits, as many as the radius along x, are no longer right."""
+    widths = _widths(radius)
+
+    def along(width: int) -> Column:
+        b = F.col("_b")
+        for d in range(1, width + 1):
+            for moved in (F.shiftleft("_b", d), F.shiftrightunsigned("_b", d)):
+                b = b.bitwiseAND(moved) if every else b.bitwiseOR(moved)
+        return b
+
+    lines = [F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), along(w).alias("_b")) for (dz, dy), w in widths.items()]
+    # lines that lie together meet in one task, so that most of what they send to each other is put together before it is exchanged
+    words = words.repartition("sample_id", F.floor(F.col("z") / 16), F.floor(F.col("y") / 64), "_w")
+    near = words.select("sample_id", "_w", F.explode(F.array(*lines)).alias("l")).select("sample_id", "l.z", "l.y", "_w", "l._b").where("_b <> 0")
+    groups = near.groupBy("sample_id", "z", "y", "_w")
+    if not every:
+        return groups.agg(F.bit_or("_b").alias("_b"))
+    return groups.agg(F.bit_and("_b").alias("_b"), F.count("*").alias("_n")).where((F.col("_n") == len(widths)) & (F.col("_b") != 0)).drop("_n")
+
+
+def _voxels(words: DataFrame, margin: int, mask: DataFrame) -> DataFrame:
+    n = 64 - 2 * margin
+    bits = F.filter(F.sequence(F.lit(margin), F.lit(margin + n - 1)), lambda i: F.call_function("shiftright", F.col("_b"), i).bitwiseAND(F.lit(1)) == 1)
+    kind = mask.schema["x"].dataType
+    at = F.when(F.col("_w").isNull(), F.array(F.lit(None).cast(kind))).otherwise(F.transform(bits, lambda i: (F.col("_w") * n + i - margin - n // 2).cast(kind)))
+    return words.select("sample_id", "z", "y", F.explode(at).alias("x"))
+
+
+def _morphed(mask: DataFrame, radius: Radius, *steps: bool) -> DataFrame:
+    """Dilations (False) and erosions (True) one after the other, on words of 64 voxels so that a voxel is no row of its own between them."""
+    margin = len(steps) * max(_widths(radius).values())
+    if margin > 16:  # the words would mostly be margin
+        for every in steps:
+            near = _neighbours(mask.select(*KEY).distinct(), ball(radius))
+            mask = near.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") == len(ball(radius))).select(*KEY) if every else near.distinct()
+        return mask
+    words = _words(mask, margin)
+    for every in steps:
+        words = _moved(words, radius, every)
+    return _voxels(words, margin, mask)
+
+
 def dilate(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     """VOX-04: voxels whose ball meets the mask."""
-    return _neighbours(mask.select(*KEY), ball(radius)).distinct()
+    return _morphed(mask, radius, False)
 
 
 def erode(mask: DataFrame, radius: Radius = 1) -> DataFrame:
     """VOX-04: voxels whose whole ball lies in the mask."""
-    offsets = ball(radius)
-    near = _neighbours(mask.select(*KEY).distinct(), offsets)
-    return near.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") == len(offsets)).select(*KEY)
+    return _morphed(mask, radius, True)
 
 
 def closing(mask: DataFrame, radius: Radius = 1) -> DataFrame:
-    return erode(dilate(mask, radius), radius)
+    return _morphed(mask, radius, False, True)
 
 
 def opening(mask: DataFrame, radius: Radius = 1) -> DataFrame:
-    return dilate(erode(mask, radius), radius)
+    return _morphed(mask, radius, True, False)
 
 
 def connected_components(mask: DataFrame, min_voxels: int = 1, max_components: int | None = 1, keys: tuple[str, ...] = ("sample_id",), corners: bool = False) -> DataFrame:

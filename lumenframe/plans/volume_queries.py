@@ -85,10 +85,10 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "voxel_dilate": lambda spark, sf_dir: V.dilate(_mask(spark, sf_dir)),
-        "voxel_erode": lambda spark, sf_dir: V.erode(_mask(spark, sf_dir)),
-        "voxel_closing": lambda spark, sf_dir: V.closing(_mask(spark, sf_dir)),
-        "voxel_opening": lambda spark, sf_dir: V.opening(_mask(spark, sf_dir)),
+        "voxel_dilate": lambda spark, sf_dir: V.dilate(_rows(spark, sf_dir)),
+        "voxel_erode": lambda spark, sf_dir: V.erode(_rows(spark, sf_dir)),
+        "voxel_closing": lambda spark, sf_dir: V.closing(_rows(spark, sf_dir)),
+        "voxel_opening": lambda spark, sf_dir: V.opening(_rows(spark, sf_dir)),
         "voxel_components": _components,
         "voxel_crop_to_mask": _crop_to_mask,
         "voxel_center_crop": _center_crop,

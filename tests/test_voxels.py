@@ -44,6 +44,54 @@ def test_morphology(spark, masks):
     assert cells(V.dilate(df, 2)) == plain_dilate(points, 2)
 
 
+def test_morphology_across_words(spark):
+    rng = np.random.default_rng(7)
+    shape = (3, 4, 200)
+    points = {("a", *map(int, p)) for p in np.argwhere(rng.random(shape) < 0.7) - (1, 2, 90)}
+    df = spark.createDataFrame(sorted(points), "sample_id string, z int, y int, x int")
+    for r in (1, (0, 1, 5), (0, 0, 17)):
+        assert cells(V.closing(df, r)) == plain_erode(plain_dilate(points, r), r), r
+        assert cells(V.opening(df, r)) == plain_dilate(plain_erode(points, r), r), r
+    assert V.dilate(df).schema["x"].dataType == df.schema["x"].dataType
+
+
+def test_morphology_of_missing_coordinates(spark):
+    rows = [("a", 0, 0, None), ("a", 0, None, 3), (None, 0, 0, 0)]
+    got = cells(V.dilate(spark.createDataFrame(rows, "sample_id string, z int, y int, x int")))
+    want = {(s, *(None if c is None else c + d for c, d in zip(p, o, strict=True))) for s, *p in rows for o in V.ball(1)}
+    assert got == want
+
+
+def test_morphology_exchanges_lines_of_voxels(spark):
+    """What goes between tasks is a row for 64 voxels of a line and each of the ball's nine lines, not one for each of its 19 voxels."""
+    line = spark.range(0, 6000, 1, 4).selectExpr("'a' sample_id", "0 z", "0 y", "cast(id as int) x")
+    df = V.dilate(line)
+    assert df.count() == 6000 * 9 + 2 * 5
+    widest = max((int(m.value()) for m in _written(df)), default=0)
+    assert 0 < widest < 6000
+
+
+def _written(df):
+    """The metrics of shuffle records written by the executed plan."""
+    df.collect()
+    plan, todo, out = df._jdf.queryExecution().executedPlan(), [], []
+    todo.append(plan)
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+            continue
+        m = p.metrics().get("shuffleRecordsWritten")
+        if m.isDefined():
+            out.append(m.get())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
 def plain_components(points):
     left, out = set(points), []
     while left:
