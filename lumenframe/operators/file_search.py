@@ -41,16 +41,22 @@ def _ends(name: Column, extensions: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.endswith(name, F.lit(e)) for e in extensions])
 
 
-def _pieces(name: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(name, i, F.lit(n)))
-
-
 def holding(files: DataFrame, samples: DataFrame, name: Column) -> DataFrame:
-    """``files`` with the ``sample_id`` of every sample whose id is part of ``name``; at most 255 lengths of ids come to the driver."""
+    """``files`` with the ``sample_id`` of every sample whose id is part of ``name``.
+
+    At most 255 lengths of ids come to the driver, each with the characters that ids of that length begin and end with; pieces that
+    begin or end otherwise are no ids and are not cut out.
+    """
     ids = samples.select("sample_id").where("sample_id <> ''").distinct()
-    lengths = sorted(r[0] for r in ids.select(F.length("sample_id")).distinct().collect())
-    pieces = [_pieces(F.col("_name"), n) for n in lengths]
-    every = F.array_distinct(F.concat(*[F.when(F.length("_name") >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(lengths, pieces, strict=True)])) if lengths else F.array().cast("array<string>")
+    size, first, last = F.length("sample_id").alias("n"), F.substring("sample_id", 1, 1), F.substring("sample_id", -1, 1)
+    shapes = samples.where("sample_id <> ''").groupBy(size).agg(F.sort_array(F.collect_set(first)), F.sort_array(F.collect_set(last))).collect()
+
+    def pieces(n: int, firsts: list[str], lasts: list[str]) -> Column:
+        at = lambda i, k: F.substr("_name", i, F.lit(k))
+        fits = F.filter(F.sequence(F.lit(1), F.length("_name") - n + 1), lambda i: at(i, 1).isin(firsts) & at(i + n - 1, 1).isin(lasts))
+        return F.when(F.length("_name") >= n, F.transform(fits, lambda i: at(i, n))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*[pieces(*s) for s in sorted(shapes)])) if shapes else F.array().cast("array<string>")
     cut = files.withColumn("_name", name).withColumn("sample_id", F.explode(every)).drop("_name")
     return cut.join(ids, "sample_id")
 
@@ -63,11 +69,17 @@ def first_hits(samples: DataFrame, rules: list[DataFrame]) -> DataFrame:
 
 
 def _named(samples: DataFrame, files: DataFrame, root: str, suffixes: tuple[str, ...], extensions: tuple[str, ...], rank: int = 0) -> DataFrame:
-    """Files that stand right under ``root`` with a name made of id, suffix and extension; ranked by suffix, then extension."""
-    ways = [F.struct(F.lit(rank + i * len(extensions) + j).alias("rank"), F.lit(s + e).alias("tail")) for i, s in enumerate(suffixes) for j, e in enumerate(extensions)]
-    wanted = samples.select("sample_id").distinct().select("sample_id", F.explode(F.array(*ways)).alias("w"))
-    wanted = wanted.select("sample_id", "w.rank", F.concat(F.lit(root.rstrip("/") + "/"), "sample_id", "w.tail").alias("path"))
-    return wanted.join(files.select("path").distinct(), "path", "left_semi")
+    """Files that stand right under ``root`` with a name made of id, suffix and extension; ranked by suffix, then extension.
+
+    Each file is asked which of these endings it has, so a sample is not a row for each of its possible names.
+    """
+    under = root.rstrip("/") + "/"
+    rest = files.where(F.startswith("path", F.lit(under))).select("path", F.substr("path", F.lit(len(under) + 1)).alias("_rest"))
+    tails = {s + e: rank + i * len(extensions) + j for i, s in reversed([*enumerate(suffixes)]) for j, e in reversed([*enumerate(extensions)])}
+    ways = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(t).alias("tail")) for t, r in tails.items()])
+    met = rest.select("path", "_rest", F.explode(F.filter(ways, lambda w: F.endswith("_rest", w["tail"]))).alias("w"))
+    own = F.substr("_rest", F.lit(1), F.length("_rest") - F.length("w.tail"))
+    return met.select(own.alias("sample_id"), "w.rank", "path").join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
 
 
 def sample_images(samples: DataFrame, files: DataFrame, root: str, manifests: DataFrame | None = None) -> DataFrame:
