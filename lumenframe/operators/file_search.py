@@ -145,6 +145,23 @@ def worker_masks(samples: DataFrame, files: DataFrame, root: str, manifest: Data
     return first_hits(samples, rules)
 
 
+def _mask_places(artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """(artifact_path, path): each file that is a mask with itself and the folders above it, as far as some artifact lies that deep."""
+    depths = artifacts.agg(F.collect_set(F.size(F.split("artifact_path", "/"))).alias("_depths"))
+    parts = F.split("path", "/")
+    above = F.transform(F.filter("_depths", lambda n: n < F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    none = F.array().cast("array<string>")
+    itself = F.when(F.col("path").rlike(ARTIFACT_FILE) & F.array_contains("_depths", F.size(parts)), F.array("path")).otherwise(none)
+    places = F.concat(itself, F.when(F.col("path").rlike(ARTIFACT_MASK), above).otherwise(none))
+    # one row of a few numbers
+    return files.select("path").crossJoin(F.broadcast(depths)).select("path", F.explode(places).alias("artifact_path"))
+
+
+def with_mask(artifacts: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of ``artifacts`` (artifact_path and more) that are a mask file or have one below them, without saying which."""
+    return artifacts.join(_mask_places(artifacts, files).select("artifact_path").distinct(), "artifact_path", "left_semi")
+
+
 def artifact_masks(artifacts: DataFrame, files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """JN-16: (sample_id, path) for ``artifacts`` (sample_id, artifact_path), whose files are ``files`` (path).
 
@@ -152,13 +169,10 @@ def artifact_masks(artifacts: DataFrame, files: DataFrame, manifest: DataFrame |
     that says so by its name; the first mask file below it.
     """
     wanted = artifacts.select("sample_id", "artifact_path")
-    itself = wanted.join(files.select(F.col("path").alias("artifact_path")).distinct(), "artifact_path", "left_semi")
-    rules = [itself.where(F.col("artifact_path").rlike(ARTIFACT_FILE)).select("sample_id", F.lit(0).alias("rank"), F.col("artifact_path").alias("path"))]
-    # a file lies below each of its folders
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    below = files.where(F.col("path").rlike(ARTIFACT_MASK)).select("path", F.explode(above).alias("artifact_path")).join(wanted, "artifact_path")
-    rules.append(below.select("sample_id", F.when(base_name(F.col("path")).rlike("(?i)mask|seg|label"), 2).otherwise(3).alias("rank"), "path"))
+    rank = F.when(F.col("artifact_path") == F.col("path"), 0).when(base_name(F.col("path")).rlike("(?i)mask|seg|label"), 2).otherwise(3)
+    # one file a folder goes on from each task, so that a folder of all files is no hot key
+    best = _mask_places(wanted, files).groupBy("artifact_path").agg(F.min(F.struct(rank.alias("rank"), "path")).alias("_best"))
+    rules = [wanted.join(best, "artifact_path").select("sample_id", "_best.rank", "_best.path")]
     if manifest is not None:
         listed = manifest.join(wanted, ["artifact_path", "sample_id"]).select("sample_id", F.lit(1).alias("rank"), F.col("primary_mask").alias("path"))
         rules.append(listed.join(files.select("path").distinct(), "path", "left_semi"))

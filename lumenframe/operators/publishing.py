@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.operators import disclosure as D
-from lumenframe.operators.file_search import artifact_masks
+from lumenframe.operators.file_search import with_mask
 
 #: Asset kinds whose place is a folder, and those that are a file.
 FOLDERS = ("image_root", "mask_root", "wsi_root", "dicom_series_root", "rt_struct_root", "rt_seg_root", "qc_visual_asset", "wsi_tile_root", "registration_root")
@@ -54,11 +54,12 @@ def mask_validation(items: DataFrame, files: DataFrame, profile: str = "clinical
     ``items``: generation_id, sample_id, status, artifact_relpath; ``files``: path. Counts pass the disclosure profile.
     """
     done = items.where("status = 'completed' and artifact_relpath <> ''")
-    key = F.to_json(F.struct("generation_id", "sample_id"))
-    found = artifact_masks(done.select(key.alias("sample_id"), F.col("artifact_relpath").alias("artifact_path")), files).where("path is not null").select(F.col("sample_id").alias("_key"), F.lit(True).alias("_has"))
-    rows = items.withColumn("_key", key).join(found, "_key", "left")
-    valid, failed = F.coalesce(F.col("_has"), F.lit(False)) & (F.col("status") == "completed"), F.col("status") == "failed"
-    out = rows.groupBy("generation_id").agg(F.count("*").alias("total"), F.count_if(valid).alias("n_valid"), F.count_if(~valid & ~failed).alias("n_missing"), F.count_if(failed).alias("n_failed"))
+    found = with_mask(done.select("generation_id", F.col("artifact_relpath").alias("artifact_path")), files)
+    marks = lambda rows, *values: rows.select("generation_id", *[F.coalesce(v, F.lit(False)).cast("int").alias(c) for c, v in zip(("t", "o", "f", "v"), values, strict=True)])
+    yes, no = F.lit(True), F.lit(False)
+    each = marks(items, yes, F.col("status") != "failed", F.col("status") == "failed", no).unionAll(marks(found, no, no, no, yes))
+    total = each.groupBy("generation_id").agg(*[F.sum(c).alias(c) for c in ("t", "o", "f", "v")])
+    out = total.select("generation_id", F.col("t").alias("total"), F.col("v").alias("n_valid"), (F.col("o") - F.col("v")).alias("n_missing"), F.col("f").alias("n_failed"))
     shown = [D.safe_count(F.col(c), profile).alias(c) for c in ("total", "n_valid", "n_missing", "n_failed")]
     return out.select("generation_id", (F.col("n_valid") == F.col("total")).alias("valid"), (F.col("n_missing") > 0).alias("needs_regeneration"), *shown)
 
