@@ -67,17 +67,23 @@ def lineage(parents: DataFrame, assets: DataFrame) -> DataFrame:
 def ancestors(parents: DataFrame) -> DataFrame:
     """JN-02: (asset_id, ancestor, steps): all that an asset derives from, with the fewest steps; a circle ends where it closes.
 
-    Paths double in length each round, so rounds grow with the logarithm of the longest line, and each is one join by key.
+    Paths double in length each round, so rounds grow with the logarithm of the longest line, and each is one join by key. Only the
+    paths of the full length reached so far are carried on, so a pair with one shortest path is made once.
     """
-    now = parents.select("asset_id", F.col("parent_asset_id").alias("ancestor"), F.lit(1).cast("long").alias("steps")).distinct()
-    while True:
+    now = parents.select("asset_id", F.col("parent_asset_id").alias("ancestor"), F.lit(1).cast("long").alias("steps")).distinct().persist()
+    last, reached = None, 1
+    # a pair further apart than this has one that is just as far apart on its way
+    while now.where(F.col("steps") == reached).count():
         on = now.select(F.col("asset_id").alias("ancestor"), F.col("ancestor").alias("_far"), F.col("steps").alias("_more"))
-        longer = now.join(on, "ancestor").select("asset_id", F.col("_far").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
+        ends = now.where(F.col("steps") == reached)
+        longer = ends.join(on, "ancestor").select("asset_id", F.col("_far").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps"))
         new = now.unionByName(longer).groupBy("asset_id", "ancestor").agg(F.min("steps").alias("steps")).persist()
-        changed = not new.exceptAll(now).isEmpty()
-        if not changed:
-            return new
-        now = new
+        if last:
+            last.unpersist()  # the rounds after it are kept whole
+        last, now, reached = now, new, reached * 2
+    if last:
+        last.unpersist()
+    return now
 
 
 def in_latest(rows: DataFrame, wanted: DataFrame, key: str, *order: Column) -> DataFrame:
